@@ -13,10 +13,10 @@ documents link when ``100 * |A & B| >= 75 * |A | B|``.
   scanned above it, from the histogram of sizes and the mean list length.
 
 Equal sets are merged first, so a group of exact copies costs one set.  Lists
-over LONG entries first link each member with a hub; after the components of
-those links are known, only pairs of different components are compared there,
-in blocks of bounded size, so that a large group of near copies costs no
-quadratic work and no link between different components is missed.
+over LONG entries first link each member with a hub, then with pivots; once the
+components of those links are known, only pairs of different components are
+compared there, in blocks of bounded size, so that a large group of near copies
+costs no quadratic work and no link between different components is missed.
 
 Defined results: null, empty or blank text gives an empty set, n_shingles 0
 and no link; rows that repeat a doc_id count as one document; a row with a null
@@ -45,6 +45,8 @@ MAX_LIGHT = 12
 LONG = 48
 #: Entries of a block of a long list.
 BLOCK = 1024
+#: Long lists try so many pivots a turn, and so many turns at most, before the remaining pairs of different components are compared.
+PIVOTS, TURNS = 16, 4
 
 
 def shared_size(n, m):
@@ -326,16 +328,31 @@ def _verify(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _links(tables: Tables, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Those of pairs (a, b) whose sets link; each text of a pair is turned into its set once."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(nodes, "doc_id", "left_semi").mapInArrow(_sets, "node long, elements binary")
-    sets = tables.keep(sets, f"{name}-sets")
+def _links(tables: Tables, sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Those of pairs (a, b) whose sets link."""
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
     return tables.keep(both.mapInArrow(_verify, "a long, b long"), f"{name}-links")
 
 
+def _open_lists(entries: DataFrame) -> tuple[DataFrame, int, int]:
+    """Lists that hold several components, the number of pairs of different components in them, and of entries."""
+    sizes = entries.groupBy("list", "label").agg(F.count("*").alias("n"))
+    lists = sizes.groupBy("list").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("inside"), F.count("*").alias("labels")).where("labels > 1")
+    cost = lists.agg(F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("inside")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return lists.select("list", F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks")), int(cost[0]), int(cost[1])
+
+
+def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each entry of a long list with the list's pivots of other components: as many rows as entries times PIVOTS at most."""
+    order = F.xxhash64(F.col("node"), F.lit(turn))
+    pivots = entries.groupBy("list", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(order.alias("order"), "node", "place", "label")).alias("p"))
+    size, other = F.shiftright("place", 24), F.shiftright("p.place", 24)
+    apart = (F.col("label") != F.col("p.label")) & (4 * size >= 3 * other) & (4 * other >= 3 * size)
+    near = entries.join(pivots.select("list", "p").withColumnRenamed("list", "l"), (F.col("list") == F.col("l")) & apart)
+    return near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links.
 
@@ -361,19 +378,29 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scanned = tables.keep(postings.repartition("list").sortWithinPartitions("list", "place", "node").mapInArrow(_scan_lists(boundary), PAIRS), "scanned")
     pairs = scanned.where("list is null").groupBy("a", "b").agg(F.max("sure").alias("sure"))
     pairs = tables.keep(pairs, "pairs")
-    sure = pairs.where("sure").select("a", "b")
-    links = sure.union(_links(tables, texts, pairs.where("not sure").select("a", "b"), "short"))
     entries = scanned.where("list is not null").select("list", F.col("a").alias("node"), "place")
-    if entries.limit(1).count():
-        label = components(tables, links, "cc-hubs")
-        entries = tables.keep(entries.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "entries")
-        open_lists = entries.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high").select("list", F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks"))
-        mine = F.expr("int(pmod(xxhash64(node), blocks))")
-        spread = entries.join(open_lists, "list").withColumn("block", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        spread = spread.select("list", F.least("block", "other").cast("long").alias("one"), F.greatest("block", "other").cast("long").alias("two"), "node", "place", "label")
-        more = spread.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two").mapInArrow(_block_pairs(boundary), "a long, b long").distinct()
-        more = tables.keep(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more")
-        links = links.union(_links(tables, texts, more, "long"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = tables.keep(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_sets, "node long, elements binary"), "sets")
+    links = pairs.where("sure").select("a", "b").union(_links(tables, sets, pairs.where("not sure").select("a", "b"), "first"))
+    tested, turn = pairs.select("a", "b"), 0
+    while entries.limit(1).count():
+        label = components(tables, links, f"cc-long-{turn}")
+        labelled = tables.keep(entries.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), f"labelled-{turn}")
+        lists, cost, n = _open_lists(labelled)
+        labelled = labelled.join(lists, "list")
+        if not cost:
+            break
+        if last := cost <= 3 * n or turn == TURNS:
+            spread = labelled.withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            spread = spread.select("list", F.least("block", "other").cast("long").alias("one"), F.greatest("block", "other").cast("long").alias("two"), "node", "place", "label")
+            more = spread.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two").mapInArrow(_block_pairs(boundary), "a long, b long").distinct()
+        else:
+            more = _pivot_pairs(labelled, turn)
+        more = tables.keep(more.join(tested, ["a", "b"], "left_anti"), f"more-{turn}")
+        links, tested = links.union(_links(tables, sets, more, f"more-{turn}")), tested.union(more)
+        if last:
+            break
+        turn += 1
     copies = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("node"))
     label = components(tables, links, "cc")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
