@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import language_id, ngram_join, quality_rank, toxicity_mil
 
-QUERIES = {"op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join}
+QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_quality_classifier": quality_rank.op2_quality_classifier,
+    "op4_toxicity": toxicity_mil.op4_toxicity,
+    "op7_language_id": language_id.op7_language_id,
+}
 ORACLES = {"op1_ngram_jaccard_join": ngram_join.ORACLE}
