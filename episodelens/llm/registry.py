@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import language_id, ngram_join, quality_rank, toxicity_mil
+from . import language_id, ngram_join, quality_rank, quality_rules, source_mixing, topk_search, toxicity_mil
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_quality_classifier": quality_rank.op2_quality_classifier,
+    "op3_exact_topk": topk_search.op3_exact_topk,
     "op4_toxicity": toxicity_mil.op4_toxicity,
+    "op5_source_mixing": source_mixing.op5_source_mixing,
     "op7_language_id": language_id.op7_language_id,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
-ORACLES = {"op1_ngram_jaccard_join": ngram_join.ORACLE}
+ORACLES = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op3_exact_topk": topk_search.ORACLE}
