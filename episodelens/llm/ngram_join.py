@@ -45,8 +45,10 @@ MAX_LIGHT = 12
 LONG = 48
 #: Entries of a block of a long list.
 BLOCK = 1024
-#: Long lists try so many pivots a turn, and so many turns at most, before the remaining pairs of different components are compared.
-PIVOTS, TURNS = 16, 4
+#: Slots of the bitmap that spares other documents' sets the way to disk; its size is fixed, so it may be broadcast.
+FILTER_BITS = 23
+#: Long lists try so many pivots a turn, with a node's so many lists, and so many turns at most, before the remaining pairs of different components are compared.
+PIVOTS, LISTS, TURNS = 8, 4, 5
 
 
 def shared_size(n, m):
@@ -308,11 +310,29 @@ def _block_pairs(boundary: int):
     return run
 
 
-def _sets(batches):
-    for part, words in batches_of(batches):
-        docs, hashes = shingle_sets(words)
-        bounds = np.searchsorted(docs, np.arange(part.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["node", "elements"])
+def _slot_map(nodes: DataFrame) -> np.ndarray:
+    """Bitmap of FILTER_BITS hash slots that hold a node: of fixed size, whatever the number of nodes."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
+    words = nodes.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(xxhash64(node), {1 << FILTER_BITS}L) & 63))")).alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("w").to_numpy()] = batch.column("bits").to_numpy()
+    return out
+
+
+def _sets(slots):
+    """Sets of the documents whose slot is taken; those of others are left out early, some too many do no harm."""
+
+    def run(batches):
+        taken = np.unpackbits(np.frombuffer(slots.value, np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(taken[batch.column("slot").to_numpy()]))
+            for part, words in batches_of([batch]):
+                docs, hashes = shingle_sets(words)
+                bounds = np.searchsorted(docs, np.arange(part.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["node", "elements"])
+
+    return run
 
 
 def _verify(batches):
@@ -344,7 +364,13 @@ def _open_lists(entries: DataFrame) -> tuple[DataFrame, int, int]:
 
 
 def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each entry of a long list with the list's pivots of other components: as many rows as entries times PIVOTS at most."""
+    """Pairs of each entry of a long list with the list's pivots of other components: as many rows as nodes times LISTS * PIVOTS at most.
+
+    Pivots only bring components together; the pairs left are all compared later.
+    """
+    chance = F.xxhash64(F.col("list"), F.lit(turn))
+    few = entries.groupBy("node", "label", F.pmod(F.xxhash64("list"), F.lit(LISTS)).alias("slot")).agg(F.min(F.struct(chance.alias("chance"), "list", "place")).alias("e"))
+    entries = few.select("node", "label", "e.list", "e.place")
     order = F.xxhash64(F.col("node"), F.lit(turn))
     pivots = entries.groupBy("list", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(order.alias("order"), "node", "place", "label")).alias("p"))
     size, other = F.shiftright("place", 24), F.shiftright("p.place", 24)
@@ -379,8 +405,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = scanned.where("list is null").groupBy("a", "b").agg(F.max("sure").alias("sure"))
     pairs = tables.keep(pairs, "pairs")
     entries = scanned.where("list is not null").select("list", F.col("a").alias("node"), "place")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = tables.keep(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_sets, "node long, elements binary"), "sets")
+    slots = spark.sparkContext.broadcast(_slot_map(pairs.select(F.explode(F.array("a", "b")).alias("node"))).tobytes())
+    some = texts.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
+    sets = tables.keep(some.mapInArrow(_sets(slots), "node long, elements binary"), "sets")
     links = pairs.where("sure").select("a", "b").union(_links(tables, sets, pairs.where("not sure").select("a", "b"), "first"))
     tested, turn = pairs.select("a", "b"), 0
     while entries.limit(1).count():
