@@ -2,9 +2,350 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import rotation, text
+from ..operators import align, checks, images, reconcile
+from ..sources.tables import profile, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NS = re.compile(r"NS\((\w[\w.]*)\)")
+
+
+def query(oracle: str | None = None):
+    """Registers a function (tables -> DataFrame) under its name; tables is called with a table's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, folder: f(lambda name: table(spark, folder, name))
+        if oracle:
+            ORACLES[f.__name__] = NS.sub(r"(epoch_us(\1) * 1000)", oracle)
+        return f
+
+    return add
+
+
+def sql(name: str, tables: str, statement: str, oracle: str | None = None) -> None:
+    """Registers one statement for both engines; tables are written {name}, nanoseconds NS(column)."""
+    spark_text = NS.sub(r"(unix_micros(cast(\1 AS timestamp)) * 1000)", statement)
+    QUERIES[name] = lambda spark, folder: spark.sql(spark_text, **{t: table(spark, folder, t) for t in tables.split()})
+    ORACLES[name] = NS.sub(r"(epoch_us(\1) * 1000)", (oracle or statement).replace("{", "").replace("}", ""))
+
+
+def _events(t) -> DataFrame:
+    return t("events").select("event_id", "user_id", "event_type", "value", align.ns("ts").alias("at"))
+
+
+_EV = "WITH e AS (SELECT event_id, user_id, event_type, value, NS(ts) AS t FROM events)"
+
+
+@query(f"""{_EV}, p AS (SELECT x.event_id AS target_id, x.t AS target_ns, y.event_id AS matched_id, abs(y.t - x.t) AS diff_ns,
+  row_number() OVER (PARTITION BY x.event_id ORDER BY abs(y.t - x.t), y.event_id) AS r
+  FROM e x LEFT JOIN e y ON x.user_id = y.user_id AND y.event_type = 'purchase' WHERE x.event_type = 'error')
+SELECT target_id, target_ns, matched_id, diff_ns FROM p WHERE r = 1""")
+def nearest_event_per_target(t):
+    e = _events(t)
+    out = align.nearest(e.where("event_type = 'error'"), e.where("event_type = 'purchase'"), ["user_id"], "at", "at", "event_id", [])
+    return out.select(F.col("event_id").alias("target_id"), F.col("at").alias("target_ns"), F.col("nearest.tie").alias("matched_id"), "diff_ns")
+
+
+def _grid(t) -> DataFrame:
+    """A target at noon of each day for each event type."""
+    day = align.DAY_NS
+    return _events(t).select("event_type", F.expr(f"at div {day} * {day} + {day // 2}").alias("target_ns")).distinct()
+
+
+_GRID = f"{_EV}, g AS (SELECT DISTINCT event_type, t // {align.DAY_NS} * {align.DAY_NS} + {align.DAY_NS // 2} AS target_ns FROM e)"
+
+
+@query(f"""{_GRID}, p AS (SELECT g.event_type, g.target_ns, e.event_id AS matched_id, abs(e.t - g.target_ns) AS diff_ns,
+  row_number() OVER (PARTITION BY g.event_type, g.target_ns ORDER BY abs(e.t - g.target_ns), e.event_id) AS r FROM g JOIN e USING (event_type))
+SELECT event_type, target_ns, matched_id, diff_ns FROM p WHERE r = 1""")
+def nearest_per_topic(t):
+    out = align.nearest(_grid(t), _events(t), ["event_type"], "target_ns", "at", "event_id", [])
+    return out.select("event_type", "target_ns", F.col("nearest.tie").alias("matched_id"), "diff_ns")
+
+
+_BR = f"""{_GRID}, b AS (SELECT g.*, (SELECT max(t) FROM e WHERE e.event_type = g.event_type AND t <= target_ns) AS before_ns, (SELECT min(t) FROM e WHERE e.event_type = g.event_type AND t >= target_ns) AS after_ns FROM g)
+, v AS (SELECT b.*, x.value AS bv, y.value AS av FROM b LEFT JOIN e x ON x.event_type = b.event_type AND x.t = before_ns LEFT JOIN e y ON y.event_type = b.event_type AND y.t = after_ns)"""
+
+
+def _bracket(t) -> DataFrame:
+    return align.bracket(_grid(t), _events(t), ["event_type"], "target_ns", "at", "event_id", ["value"])
+
+
+@query(f"{_BR} SELECT event_type, target_ns, before_ns, after_ns FROM b")
+def bracket_neighbors(t):
+    return _bracket(t).select("event_type", "target_ns", F.col("before.ts").alias("before_ns"), F.col("after.ts").alias("after_ns"))
+
+
+TOLERANCE = 120_000_000_000
+_STRATEGY = f"""CASE WHEN least(target_ns - before_ns, after_ns - target_ns) <= {TOLERANCE} THEN 'nearest' WHEN before_ns IS NULL AND after_ns IS NULL THEN 'single_value'
+  WHEN before_ns IS NULL THEN 'clamp_first' WHEN after_ns IS NULL THEN 'clamp_last' WHEN before_ns = after_ns THEN 'single_value' ELSE 'interpolated' END"""
+
+
+@query(f"{_BR}, s AS (SELECT *, {_STRATEGY} AS strategy FROM b) SELECT event_type, target_ns, strategy, round(CASE WHEN strategy = 'interpolated' THEN (target_ns - before_ns)::DOUBLE / (after_ns - before_ns) END, 6) AS ratio FROM s")
+def resolve_strategy(t):
+    out = _bracket(t).withColumn("s", align.resolve(F.col("before.ts"), F.col("after.ts"), F.col("target_ns"), TOLERANCE))
+    return out.select("event_type", "target_ns", "s.strategy", F.round("s.ratio", 6).alias("ratio"))
+
+
+@query(f"{_BR}, s AS (SELECT *, {_STRATEGY} AS strategy FROM v) SELECT event_type, target_ns, round(CASE WHEN strategy = 'interpolated' THEN bv + (av - bv) * ((target_ns - before_ns)::DOUBLE / (after_ns - before_ns)) WHEN av IS NULL OR target_ns - before_ns <= after_ns - target_ns THEN bv ELSE av END, 4) AS value FROM s")
+def interpolate_value(t):
+    out = _bracket(t).withColumn("s", align.resolve(F.col("before.ts"), F.col("after.ts"), F.col("target_ns"), TOLERANCE))
+    b, a = F.col("before"), F.col("after")
+    single = F.when(a.isNull() | (F.col("target_ns") - b["ts"] <= a["ts"] - F.col("target_ns")), b["value"]).otherwise(a["value"])
+    value = F.when(F.col("s.strategy") == "interpolated", align.lerp(b["value"], a["value"], F.col("s.ratio"))).otherwise(single)
+    return out.select("event_type", "target_ns", F.round(value, 4).alias("value"))
+
+
+_Q = """WITH r AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS a, list_transform(embedding[5:8], lambda x: x::DOUBLE) AS b FROM embeddings),
+ n AS (SELECT vec_id, list_transform(a, lambda x: x / sqrt(list_inner_product(a, a))) AS p, list_transform(b, lambda x: x / sqrt(list_inner_product(b, b))) AS q FROM r)"""
+
+
+def _quaternions(t) -> DataFrame:
+    part = lambda at: rotation.normalize(F.slice(F.col("embedding").cast("array<double>"), at, 4))
+    return t("embeddings").select("vec_id", part(1).alias("p"), part(5).alias("q"))
+
+
+@query(f"""{_Q}, d AS (SELECT *, list_inner_product(p, q) AS raw FROM n), c AS (SELECT *, CASE WHEN raw < 0 THEN -1.0 ELSE 1.0 END AS s, least(abs(raw), 1.0) AS c, acos(least(abs(raw), 1.0)) AS th FROM d),
+ f AS (SELECT *, list_transform([1, 2, 3, 4], lambda i: p[i] + (q[i] * s - p[i]) * 0.25) AS flat, list_transform([1, 2, 3, 4], lambda i: (p[i] * sin(0.75 * th) + q[i] * s * sin(0.25 * th)) / sin(th)) AS curved FROM c),
+ g AS (SELECT vec_id, CASE WHEN c > 0.9995 THEN list_transform(flat, lambda x: x / sqrt(list_inner_product(flat, flat))) ELSE curved END AS v FROM f)
+SELECT vec_id, round(v[1], 6) + 0.0 AS x, round(v[2], 6) + 0.0 AS y, round(v[3], 6) + 0.0 AS z, round(v[4], 6) + 0.0 AS w FROM g""")
+def slerp_embedding_pose(t):
+    out = _quaternions(t).withColumn("v", rotation.slerp(F.col("p"), F.col("q"), F.lit(0.25)))
+    return out.select("vec_id", *((F.round(F.get("v", F.lit(i)), 6) + 0.0).alias(n) for i, n in enumerate("xyzw")))
+
+
+@query(f"""{_Q}, s AS (SELECT vec_id, p, 2 * (p[4] * p[2] - p[3] * p[1]) AS s FROM n) SELECT vec_id, round(atan2(2 * (p[4] * p[1] + p[2] * p[3]), 1 - 2 * (p[1] * p[1] + p[2] * p[2])), 5) + 0.0 AS roll,
+ round(CASE WHEN abs(s) >= 1 THEN sign(s) * pi() / 2 ELSE asin(s) END, 5) + 0.0 AS pitch, round(atan2(2 * (p[4] * p[3] + p[1] * p[2]), 1 - 2 * (p[2] * p[2] + p[3] * p[3])), 5) + 0.0 AS yaw FROM s""")
+def quaternion_to_euler(t):
+    out = _quaternions(t).withColumn("e", rotation.euler_zyx(F.col("p")))
+    return out.select("vec_id", *((F.round(f"e.{n}", 5) + 0.0).alias(n) for n in ("roll", "pitch", "yaw")))
+
+
+LABELS = ["x", "y", "z", "roll", "pitch", "yaw", "angle"]
+
+
+def _long(t, change=lambda v: v) -> DataFrame:
+    """A vector's first 28 values as section, group, label, value."""
+    rows = t("embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 28)).alias("i", "v"))
+    label = F.get(F.array(*map(F.lit, LABELS)), F.col("i") % 7)
+    return rows.select("vec_id", F.when(F.col("i") < 14, "action").otherwise("observation_state").alias("section"), F.when(F.expr("i div 7") % 2 == 0, "left").otherwise("right").alias("grp"), label.alias("label"), change(F.col("v").cast("double")).alias("value"))
+
+
+_LONG = f"""WITH l AS (SELECT vec_id, CASE WHEN i < 14 THEN 'action' ELSE 'observation_state' END AS section, CASE WHEN i // 7 % 2 = 0 THEN 'left' ELSE 'right' END AS grp, {LABELS}[i % 7 + 1] AS label, embedding[i + 1]::DOUBLE AS value
+ FROM embeddings, range(28) r(i))"""
+
+
+@query(f"{_LONG} SELECT vec_id, section, grp, label, round(value, 6) AS value FROM l")
+def pose_vector_long(t):
+    return _long(t).withColumn("value", F.round("value", 6))
+
+
+@query(f"{_LONG} SELECT section, grp, label, count(*) AS n, count(*) FILTER (abs(value * 0.01) <= 0.0005) AS within FROM l GROUP BY ALL")
+def compare_vectors_tolerance(t):
+    out = reconcile.vectors(_long(t), _long(t, lambda v: v + v * 0.01), ["vec_id", "section", "grp"])
+    return out.groupBy("section", "grp", "label").agg(F.count("*").alias("n"), F.count_if(F.col("expected").isNotNull() & (F.abs(F.col("expected") * 0.01) <= 5e-4)).alias("within"))
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, NS(o_orderdate) AS d, lag(NS(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders)
+SELECT o_custkey::VARCHAR AS entity, o_orderkey AS row_index, d::VARCHAR AS actual FROM p WHERE d <= b""")
+def monotonic_violations(t):
+    rows = t("orders").select("o_custkey", "o_orderkey", align.ns("o_orderdate").alias("d"))
+    return checks.increasing(rows, "o_custkey", "o_orderkey", "d").select("entity", "row_index", "actual")
+
+
+@query("SELECT conv_id::VARCHAR AS entity, turn AS row_index FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) WHERE turn <> k")
+def index_continuity(t):
+    return checks.continuous(t("conversations").select("conv_id", "turn"), "conv_id", "turn", "turn").select("entity", "row_index")
+
+
+_PART = "SELECT user_id, event_id, value, value / max(value) OVER (PARTITION BY user_id) AS p FROM events"
+
+
+@query(f"WITH a AS ({_PART}), b AS (SELECT *, lag(p) OVER (PARTITION BY user_id ORDER BY event_id) AS q FROM a) SELECT user_id::VARCHAR AS entity, event_id AS row_index FROM b WHERE p < q OR p < 0 OR p > 1 OR p IS NULL")
+def progress_regression(t):
+    rows = t("events").select("user_id", "event_id", (F.col("value") / F.max("value").over(Window.partitionBy("user_id"))).alias("p"))
+    return checks.progress(rows, "user_id", "event_id", "p").select("entity", "row_index")
+
+
+@query("SELECT conv_id::VARCHAR AS entity, turn AS row_index FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE (turn = m) <> (role = 'assistant')")
+def last_row_flag(t):
+    rows = t("conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("done"))
+    return checks.done_flags(rows, "conv_id", "turn", "done").select("entity", "row_index")
+
+
+@query("""WITH d AS (SELECT user_id, NS(ts) // 86400000000000 AS day, list(length(event_type) ORDER BY event_id) AS levels FROM events GROUP BY 1, 2)
+SELECT user_id, day, len(levels)::INTEGER AS n, len(list_filter(range(1, len(levels)), lambda i: levels[i + 1] <= levels[i])) = 0 AS increasing FROM d""")
+def level_order(t):
+    rows = t("events").withColumn("day", F.expr(f"unix_micros(cast(ts AS timestamp)) * 1000 div {align.DAY_NS}"))
+    lists = rows.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("event_id", F.length("event_type").alias("l")))).alias("x")).select("user_id", "day", F.transform("x", lambda v: v["l"]).alias("levels"))
+    return lists.select("user_id", "day", F.size("levels").alias("n"), checks.levels_increase(F.col("levels")).alias("increasing"))
+
+
+_START = 1_700_000_000_000_000_000
+
+
+@query(f"""WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+ g AS (SELECT *, {_START} + round_even(n * 1e9 / 30, 0)::BIGINT + CASE WHEN event_id % 17 = 0 THEN 5000 ELSE event_id % 700 END AS o, n / 30.0::DOUBLE + CASE WHEN event_id % 23 = 0 THEN 0.001 ELSE 0 END AS s FROM f)
+SELECT 'grid_seconds' AS "check", user_id::VARCHAR AS entity, event_id AS row_index FROM g WHERE event_id % 23 = 0
+UNION ALL SELECT 'grid_origin', user_id::VARCHAR, event_id FROM g WHERE event_id % 17 = 0""")
+def fixed_grid_check(t):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = t("events").select("user_id", "event_id", n.alias("n"))
+    origin = F.lit(_START) + F.bround(F.col("n") * 1e9 / 30).cast("long") + F.when(F.col("event_id") % 17 == 0, 5000).otherwise(F.col("event_id") % 700)
+    rows = rows.select("user_id", "event_id", origin.alias("o"), (F.col("n") / F.lit(30.0) + F.when(F.col("event_id") % 23 == 0, 0.001).otherwise(0.0)).alias("s"), F.lit(_START).alias("t0"))
+    return checks.fixed_grid(rows, "user_id", "event_id", "s", "o", "t0").select("check", "entity", "row_index")
+
+
+sql("expected_frame_count", "events", "SELECT user_id, CAST(floor((max(NS(ts)) - min(NS(ts))) / 1000000 * 30 / 1000) AS BIGINT) + 1 AS frames FROM {events} GROUP BY user_id", "SELECT user_id, (((max(NS(ts)) - min(NS(ts))) * 30) // 1000000000)::BIGINT + 1 AS frames FROM events GROUP BY user_id")
+QUERIES["expected_frame_count"] = lambda spark, folder: table(spark, folder, "events").groupBy("user_id").agg((F.max(align.ns("ts")) - F.min(align.ns("ts"))).alias("span")).select("user_id", F.expr("span * 30 div 1000000000 + 1").alias("frames"))
+
+
+@query("""SELECT doc_id, strpos(text, 'th') > 0 AND strpos(substr(text, strpos(text, 'th') + 2), 'er') > 0 AND strpos(substr(text, strpos(text, 'th') + 2 + strpos(substr(text, strpos(text, 'th') + 2), 'er') + 1), 'on') > 0 AS ordered FROM documents""")
+def path_contains_in_order(t):
+    return t("documents").select("doc_id", text.ordered_in(F.col("text"), F.array(F.lit("th"), F.lit("er"), F.lit("on"))).alias("ordered"))
+
+
+sql("annotation_summary", "events", "SELECT user_id, event_type, count(*) AS row_count, min(event_id) AS first_row, max(event_id) AS last_row, min(NS(ts)) AS first_ns, max_by(NS(ts), event_id) AS last_ns FROM {events} GROUP BY user_id, event_type")
+sql("level_counts_with_zero", "events", "SELECT l.level, count(e.event_id) AS n FROM (VALUES ('click'), ('error'), ('none')) AS l(level) LEFT JOIN {events} e ON e.event_type = l.level GROUP BY l.level")
+sql("conflicting_definitions", "part", "SELECT p_brand, count(DISTINCT p_type) AS definitions FROM {part} GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")
+
+
+@query("""WITH i AS (SELECT user_id, NS(ts) // 86400000000000 AS day, min(NS(ts)) AS start_ns, max(NS(ts)) AS end_ns FROM events GROUP BY 1, 2),
+ e AS (SELECT concat(user_id, '-', day) AS episode_id, user_id, start_ns, end_ns FROM i), w AS (SELECT user_id, start_ns, end_ns + CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS end_ns FROM i)
+SELECT w.user_id, w.start_ns, w.end_ns, count(e.episode_id) AS n_matches, CASE WHEN count(e.episode_id) = 1 THEN min(e.episode_id) END AS episode_id FROM w LEFT JOIN e USING (user_id, start_ns, end_ns) GROUP BY ALL""")
+def episode_index_unique(t):
+    index = t("events").select("user_id", align.ns("ts").alias("at")).withColumn("day", F.expr(f"at div {align.DAY_NS}")).groupBy("user_id", "day").agg(F.min("at").alias("start_ns"), F.max("at").alias("end_ns"))
+    wanted = index.select("user_id", "start_ns", (F.col("end_ns") + F.when(F.col("user_id") % 10 == 0, 1).otherwise(0)).alias("end_ns"))
+    episodes = index.select("user_id", "start_ns", "end_ns", F.concat_ws("-", "user_id", "day").alias("episode_id"))
+    return align.resolve_episode(episodes, wanted, ["user_id", "start_ns", "end_ns"])
+
+
+sql("interval_containment", "events", "SELECT s.event_id AS span_id, count(e.event_id) AS inside FROM (SELECT event_id, user_id, ts AS a, lead(ts, 3) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM {events}) s LEFT JOIN {events} e ON e.user_id = s.user_id AND e.ts >= s.a AND e.ts <= s.b WHERE s.event_id % 10 = 0 GROUP BY s.event_id")
+sql("status_dashboard", "orders", "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') AS created, count(*) FILTER (WHERE o_orderstatus = 'P') AS annotated, count(*) FILTER (WHERE o_orderstatus = 'F') AS converted FROM {orders}")
+sql("max_then_sum_duration", "lineitem", "SELECT l_orderkey, CAST(sum(m) AS BIGINT) AS total, count(*) AS files FROM (SELECT l_orderkey, l_suppkey, max(CAST(l_quantity AS BIGINT)) AS m FROM {lineitem} GROUP BY l_orderkey, l_suppkey) x GROUP BY l_orderkey")
+sql("duration_sum_decimal", "events", "SELECT user_id, CAST(round(CAST(sum(d) AS DECIMAL(38,0)) / 1000000000, 2) AS DOUBLE) AS seconds FROM (SELECT user_id, NS(ts) - lag(NS(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM {events}) x GROUP BY user_id")
+QUERIES["duration_sum_decimal"] = lambda spark, folder: table(spark, folder, "events").select("user_id", (align.ns("ts") - F.lag(align.ns("ts")).over(Window.partitionBy("user_id").orderBy("event_id"))).alias("d")).groupBy("user_id").agg(F.sum("d").alias("d")).select("user_id", F.round((F.col("d").cast("decimal(28,0)") * F.lit("0.000000001").cast("decimal(9,9)")), 2).cast("double").alias("seconds"))
+ORACLES["duration_sum_decimal"] = "SELECT user_id, (CASE WHEN sum(d) IS NULL THEN NULL ELSE ((sum(d)::HUGEINT + 5000000) // 10000000)::DOUBLE / 100 END) AS seconds FROM (SELECT user_id, epoch_us(ts) * 1000 - lag(epoch_us(ts) * 1000) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) x GROUP BY user_id"
+sql("count_semi_join", "lineitem orders", "SELECT l_returnflag, count(*) AS episodes FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F') GROUP BY l_returnflag")
+sql("latest_per_key_sum", "orders lineitem", "SELECT o_custkey, count(*) AS episodes, CAST(sum(m) AS BIGINT) AS total FROM (SELECT j.o_custkey, l.l_partkey, max(CAST(l.l_quantity AS BIGINT)) AS m FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC) AS r FROM {orders}) j JOIN {lineitem} l ON l.l_orderkey = j.o_orderkey WHERE j.r = 1 GROUP BY j.o_custkey, l.l_partkey) x GROUP BY o_custkey")
+sql("workforce_conversion", "customer orders lineitem", "SELECT c.c_custkey, count(j.o_orderkey) AS jobs, coalesce(sum(d.n), 0) AS episodes, CAST(coalesce(sum(d.q), 0) AS BIGINT) AS duration FROM {customer} c LEFT JOIN (SELECT o_custkey, o_orderkey FROM {orders} WHERE o_orderstatus <> 'P') j ON j.o_custkey = c.c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS q FROM {lineitem} GROUP BY l_orderkey) d ON d.l_orderkey = j.o_orderkey GROUP BY c.c_custkey")
+ORACLES["workforce_conversion"] = ORACLES["workforce_conversion"].replace("coalesce(sum(d.n), 0) AS", "CAST(coalesce(sum(d.n), 0) AS BIGINT) AS")
+sql("completion_rate", "orders", "SELECT user_id, count(*) AS tasks, CAST(sum(CASE WHEN done THEN 1 ELSE 0 END) AS BIGINT) AS completed FROM (SELECT user_id, task, bool_or(done) AS done FROM (SELECT o_custkey AS user_id, o_orderkey AS task, o_orderstatus = 'F' AS done FROM {orders} UNION ALL SELECT o_custkey % 97, o_orderkey, o_orderstatus <> 'O' FROM {orders} UNION ALL SELECT o_orderkey % 31, o_orderkey, o_orderstatus = 'P' FROM {orders} UNION ALL SELECT 7, o_orderkey, o_orderstatus = 'O' FROM {orders}) u GROUP BY user_id, task) x GROUP BY user_id")
+_completion = QUERIES["completion_rate"]
+QUERIES["completion_rate"] = lambda spark, folder: _completion(spark, folder).withColumn("percent", F.expr("(completed * 200 + tasks) div (tasks * 2)"))
+ORACLES["completion_rate"] = f"SELECT *, ((completed * 200 + tasks) // (tasks * 2))::BIGINT AS percent FROM ({ORACLES['completion_rate']})"
+sql("role_headcount", "events", "SELECT count(*) AS people, count(*) FILTER (WHERE collector OR admin) AS collect, count(*) FILTER (WHERE annotator OR admin) AS annotate, count(*) FILTER (WHERE qc OR admin) AS qc FROM (SELECT user_id, bool_or(event_type = 'view') AS collector, bool_or(event_type = 'purchase' AND value > 50) AS annotator, bool_or(event_type = 'error' AND value > 60) AS qc, bool_or(event_type = 'signup' AND value > 90) AS admin FROM {events} GROUP BY user_id) x")
+sql("per_person_average", "orders", "SELECT o_orderpriority, count(*) AS total, count(DISTINCT o_custkey) AS people, CAST(floor((count(*) * 200 + count(DISTINCT o_custkey)) / (count(DISTINCT o_custkey) * 2)) AS BIGINT) AS hundredths FROM {orders} GROUP BY o_orderpriority")
+sql("column_total_vs_baseline", "orders", "SELECT sum(n) AS people_total, max(b) AS baseline, sum(n) - max(b) AS gap FROM (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) x CROSS JOIN (SELECT count(*) AS b FROM {orders}) y")
+ORACLES["column_total_vs_baseline"] = "SELECT sum(n)::BIGINT AS people_total, max(b) AS baseline, (sum(n) - max(b))::BIGINT AS gap FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) x CROSS JOIN (SELECT count(*) AS b FROM orders) y"
+
+
+@query("""WITH e AS (SELECT doc_id, CASE WHEN n_chars > 200 THEN 1 ELSE 0 END AS q FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id)
+SELECT coalesce(e.doc_id, a.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN e.doc_id IS NULL THEN 'unexpected' WHEN e.q IS NOT DISTINCT FROM a.q THEN 'equal' ELSE 'different' END AS state FROM e FULL JOIN a ON e.doc_id = a.doc_id""")
+def reconcile_full_outer(t):
+    expected = t("documents").where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("n_chars") > 200, 1).otherwise(0).alias("q"))
+    actual = t("labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    return reconcile.full_outer(expected, actual, ["doc_id"], ["q"]).select("doc_id", "state")
+
+
+sql("anti_semi", "documents labels", "SELECT doc_id, 'without' AS state FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id) UNION ALL SELECT doc_id, 'with' FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, 'i' || turn AS id, role || turn AS name, turn * 10 AS s, turn * 10 + 9 AS e FROM conversations), a AS (SELECT conv_id, id, name, s + CASE WHEN turn % 3 = 1 THEN 1 ELSE 0 END AS s, e FROM r WHERE turn % 5 <> 4)
+SELECT r.conv_id, r.turn::INTEGER AS level, r.id AS expected_id, a.id AS actual_id, CASE WHEN a.id IS NULL THEN 'missing' ELSE 'id' END AS matched, CASE WHEN a.s <> r.s THEN 'start_ns' ELSE '' END AS differences FROM r LEFT JOIN a ON r.conv_id = a.conv_id AND r.id = a.id""")
+def expected_actual_match(t):
+    rows = t("conversations").select("conv_id", F.col("turn").cast("int").alias("level"), F.col("turn").alias("ord"), F.concat(F.lit("i"), "turn").alias("id"), F.concat("role", "turn").alias("name"), (F.col("turn") * 10).alias("start_ns"), (F.col("turn") * 10 + 9).alias("end_ns"))
+    actual = rows.where("ord % 5 <> 4").withColumn("start_ns", F.col("start_ns") + F.when(F.col("ord") % 3 == 1, 1).otherwise(0))
+    return reconcile.match_annotations(rows, actual, "conv_id")
+
+
+@query("SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part")
+def distinct_unnest(t):
+    return t("part").select(F.explode(F.array_distinct(F.split("p_name", " "))).alias("token")).distinct()
+
+
+sql("set_difference", "events", "SELECT 'only_click' AS side, user_id FROM (SELECT user_id FROM {events} WHERE event_type = 'click' AND value > 80 EXCEPT SELECT user_id FROM {events} WHERE event_type = 'view' AND value > 80) a UNION ALL SELECT 'only_view', user_id FROM (SELECT user_id FROM {events} WHERE event_type = 'view' AND value > 80 EXCEPT SELECT user_id FROM {events} WHERE event_type = 'click' AND value > 80) b")
+
+
+@query("SELECT event_id, printf('%d.%09d', (NS(ts)) // 1000000000, (NS(ts)) % 1000000000) AS seconds, concat((value::BIGINT) // 60, 'm', (value::BIGINT) % 60, 's') AS elapsed FROM (SELECT event_id, ts, floor(value) AS value FROM events)")
+def ns_text_format(t):
+    return t("events").select("event_id", text.ns_seconds(align.ns("ts")).alias("seconds"), text.minutes_seconds(F.col("value")).alias("elapsed"))
+
+
+@query("""WITH c AS (SELECT page_id, url, regexp_replace(regexp_replace(coalesce(url, ''), '[^0-9A-Za-z_\\x{4e00}-\\x{9fff}-]+', '_', 'g'), '^_+|_+$', '', 'g') AS n FROM pages)
+SELECT page_id, CASE WHEN n = '' THEN 'unknown' ELSE n END AS name, CASE WHEN contains(url, '_l') THEN 'left' WHEN contains(url, '_r') THEN 'right' WHEN n = '' THEN 'unknown' ELSE n END AS side FROM c""")
+def sanitize_filename(t):
+    return t("pages").select("page_id", text.file_name(F.col("url")).alias("name"), text.column_side(F.col("url")).alias("side"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, NULL::VARCHAR AS missing FROM events")
+def json_path_get(t):
+    v = F.parse_json("props")
+    return t("events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.none[0]", "string").alias("missing"))
+
+
+_POLICIES = ["", "exact_frame", "5", " 2.5 ", "-1", "soon", "0", "0.0000005"]
+
+
+@query(f"""WITH p AS (SELECT event_id, ({_POLICIES})[event_id % 8 + 1] AS policy FROM events), v AS (SELECT *, trim(policy) AS t, try_cast(trim(policy) AS DOUBLE) AS ms FROM p)
+SELECT event_id, CASE WHEN t = '' THEN 3000000 WHEN t = 'exact_frame' THEN 3000000 WHEN ms >= 0 THEN round_even(ms * 1e6, 0)::BIGINT END AS tolerance FROM v""")
+def sync_policy_parse(t):
+    policy = F.get(F.array(*map(F.lit, _POLICIES)), (F.col("event_id") % 8).cast("int"))
+    return t("events").select("event_id", text.tolerance_ns(policy).alias("tolerance"))
+
+
+@query("SELECT conv_id, turn AS level, 'seg-' || conv_id || '-' || turn AS id, role AS name, turn * 1000000000 AS start_ns, (turn + 1) * 1000000000 AS end_ns FROM conversations")
+def nested_layers_flatten(t):
+    item = F.struct(F.col("turn").cast("string").alias("level"), F.lit("").alias("id"), F.concat_ws("-", F.lit("seg"), "conv_id", "turn").alias("segmentId"), F.col("role").alias("description"), (F.col("turn") * 10**9).cast("string").alias("startTimeNs"), ((F.col("turn") + 1) * 10**9).cast("string").alias("endTimeNs"))
+    docs = t("conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(item)).alias("json")).withColumn("row", F.lit(0))
+    flat = checks.hierarchy(docs, "conv_id", "row", "json").select("conv_id", F.explode("levels").alias("l"))
+    return flat.select("conv_id", F.col("l.level").cast("bigint").alias("level"), "l.id", "l.name", "l.start_ns", "l.end_ns")
+
+
+@query("SELECT event_id, try_cast(CASE WHEN event_id % 3 = 0 THEN event_type ELSE (event_id)::VARCHAR END AS BIGINT) AS as_long, try_cast(CASE WHEN event_id % 4 = 0 THEN 'x' ELSE event_id || '.5' END AS DOUBLE) AS as_double, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'fallback' END AS filled FROM events")
+def lenient_cast(t):
+    i = F.col("event_id")
+    return t("events").select("event_id", text.lenient_long(F.when(i % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit(" "), i, F.lit(" ")))).alias("as_long"), text.lenient_double(F.when(i % 4 == 0, "x").otherwise(F.concat(i, F.lit(".5")))).alias("as_double"), text.first_filled(F.when(i % 2 == 0, F.col("event_type")).otherwise(""), F.lit("fallback")).alias("filled"))
+
+
+def _profile_sql(name: str, columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls FROM {name}" for c in columns.split())
+
+
+@query(_profile_sql("lineitem", "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"))
+def schema_profile(t):
+    return profile(t("lineitem"))
+
+
+@query("SELECT 'html' AS \"column\", count(*) AS rows, count(*) - count(html) AS nulls, count(*) = count(html) AND count(*) > 0 AS complete FROM pages")
+def null_integrity(t):
+    from ..sources.tables import image_integrity
+
+    return image_integrity(t("pages").select(F.struct(F.col("html").cast("binary").alias("bytes"), F.col("url").alias("path")).alias("html")))
+
+
+sql("topn_preview", "orders", "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+
+
+@query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(floor((x::DOUBLE + 0.6) * 200), 0), 255)::INTEGER) AS a FROM embeddings), p AS (SELECT vec_id, a[i + 1] AS x, least(a[i + 1] + CASE WHEN i % 9 = 0 THEN 40 ELSE vec_id % 6 END, 255) AS y FROM b, range(64) r(i))
+SELECT vec_id, round(count(*) FILTER (abs(x - y) <= 10) / 64.0, 6)::DOUBLE AS matched_ratio, round(sum(abs(x - y)) / 64.0, 6)::DOUBLE AS mae, max(abs(x - y))::INTEGER AS max_error FROM p GROUP BY vec_id""")
+def image_compare_metrics(t):
+    byte = lambda v: F.least(F.greatest(F.floor((v.cast("double") + 0.6) * 200), F.lit(0)), F.lit(255)).cast("int")
+    rows = t("embeddings").withColumn("a", F.transform("embedding", byte))
+    rows = rows.withColumn("b", F.transform("a", lambda x, i: F.least(x + F.when(i % 9 == 0, 40).otherwise((F.col("vec_id") % 6).cast("int")), F.lit(255))))
+    image = lambda c: F.struct(F.unhex(F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("data"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit("mono8").alias("encoding"))
+    out = rows.select("vec_id", images.compare_udf()(image(F.col("a")), image(F.col("b"))).alias("r"))
+    return out.select("vec_id", F.round("r.matched_ratio", 6).alias("matched_ratio"), F.round("r.mae", 6).alias("mae"), "r.max_error")
+
+
+@query(f"{_EV} SELECT event_id, event_type, t AS log_ns FROM e WHERE event_type IN ('error', 'view') AND t >= 1704499200000000000 AND t < 1704931200000000000")
+def topic_time_scan(t):
+    rows = t("events").select("event_id", "event_type", align.ns("ts").alias("log_ns"))
+    return align.scan_window(rows, "event_type", ["error", "view"], "log_ns", 1704499200000000000, 1704931200000000000)
