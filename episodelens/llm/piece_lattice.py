@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from functools import cache
 from itertools import product
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,10 @@ from ._text import U64, Runs, slices, string_buffers
 
 SPACE = 0x2581
 NBEST, UNK_PENALTY = 4, 10
+#: Bytes of text whose words share a lattice; its arrays take some hundred times as much per distinct word.
+SLICE_BYTES = 1 << 19
+#: Words a process remembers before it starts anew.
+WORDS = 400_000
 _LOW = -(2**60)
 
 
@@ -54,8 +60,8 @@ class Vocabulary:
         self.score[normal] = [round(scores[i] * 1000) for i in normal]
         self.unk = int(self.score[normal].min()) - UNK_PENALTY * 1000
         self.longest = max(len(pieces[i]) for i in normal)
-        if any(chr(SPACE) in pieces[i].lstrip(chr(SPACE)) for i in normal):
-            raise ValueError("a piece crosses a word boundary; the lattice isn't a chain of words")
+        if self.longest > 32 or any(chr(SPACE) in pieces[i].lstrip(chr(SPACE)) for i in normal):
+            raise ValueError("a piece is over 32 characters or crosses a word boundary")
         keys = np.concatenate([Runs(np.frombuffer(pieces[i].encode("utf-32-le"), np.uint32).astype(np.uint64) + U64(1)).of(np.array([0]), len(pieces[i])) for i in normal])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal)[order]
@@ -65,6 +71,12 @@ class Vocabulary:
         text = [b"" if s is None and i not in set(byte_ids) else bytes([byte_ids.index(i)]) if i in set(byte_ids) else pieces[i].replace(chr(SPACE), " ").encode() for i, s in enumerate(scores)]
         self.bytes, self.bounds = np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)])
 
+    @property
+    def known(self) -> Known:
+        if "_known" not in self.__dict__:
+            self._known = Known()
+        return self._known
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         import sentencepiece
@@ -104,59 +116,61 @@ class Lattice:
         length = np.diff(bounds)
         word = np.repeat(np.arange(len(length)), length)
         place = np.arange(n) - bounds[:-1][word]  # of the character in its word
-        # ids[l][i]: the piece of l + 1 characters that ends with character i; -2: a character to be spelled in bytes
-        self.ids = np.full((min(v.longest, int(length.max(initial=1))), n), -1, np.int64)
-        for k in range(len(self.ids)):
-            at = np.flatnonzero(place >= k)
-            self.ids[k, at] = v.find(runs.of(at - k, k + 1))
-        lone = self.ids[0] < 0
-        self.ids[0, lone] = -2
-        self.score = np.where(self.ids >= 0, v.score[np.maximum(self.ids, 0)], _LOW)
-        self.score[0, lone] = v.unk
-        order = np.argsort(-length, kind="stable")
-        sizes = length[order]
-        # forward[i], backward[i]: best score of the word up to, and from, its node i; a word of n characters has n + 1 nodes
+        # ids[i, l]: the piece of l + 1 characters that ends with character i; -2: a character to be spelled in bytes
+        self.ids = np.full((n, min(v.longest, int(length.max(initial=1)))), -1, np.int32)
+        for k in range(self.ids.shape[1]):
+            at = np.flatnonzero(place >= k) if k else np.arange(n)
+            self.ids[at, k] = v.find(runs.of(at - k, k + 1))
+        self.ids[self.ids[:, 0] < 0, 0] = -2
+        # edges in order of their last character, shorter pieces first; a word of n characters has n + 1 nodes
+        self.end, self.kind = np.nonzero(self.ids != -1)
+        own = self.ids[self.end, self.kind]
+        self.cost = np.where(own == -2, v.unk, v.score[own])
         self.node = bounds[:-1] + np.arange(len(length))
+        self.to = self.end + word[self.end] + 1
+        self.source = self.to - self.kind - 1
         self.forward, self.back = np.zeros(n + len(length), np.int64), np.zeros(n + len(length), np.int64)
+        for at, group in self._steps(place[self.end], self.to):
+            # the score decides, then the longer piece
+            best = np.maximum.reduceat((self.forward[self.source[at]] + self.cost[at]) * 32 + self.kind[at], group)
+            nodes = self.to[at[group]]
+            self.forward[nodes], self.back[nodes] = best >> 5, (best & 31) + 1
         self.backward = np.zeros(n + len(length), np.int64)
-        for t in range(1, int(length.max(initial=0)) + 1):
-            some = order[: np.searchsorted(-sizes, -t, "right")]
-            to = self.node[some] + t
-            best, back = np.full(len(some), 4 * _LOW), np.zeros(len(some), np.int64)
-            for k in range(min(t, len(self.ids)) - 1, -1, -1):  # longer pieces first: they win ties
-                got = self.forward[to - k - 1] + self.score[k, bounds[some] + t - 1]
-                better = got > best
-                best[better], back[better] = got[better], k + 1
-            self.forward[to], self.back[to] = best, back
-            left = self.node[some] + length[some] - t
-            best = np.full(len(some), 4 * _LOW)
-            for k in range(min(t, len(self.ids))):
-                best = np.maximum(best, self.backward[left + k + 1] + self.score[k, bounds[some] + length[some] - t + k])
-            self.backward[left] = best
+        by_source = np.argsort(self.source, kind="stable")
+        left = (self.node + length)[word[self.end]] - self.source
+        for at, group in self._steps(left[by_source], self.source[by_source]):
+            at = by_source[at]
+            self.backward[self.source[at[group]]] = np.maximum.reduceat(self.backward[self.to[at]] + self.cost[at], group)
         self.best = self.forward[self.node + length]
 
+    @staticmethod
+    def _steps(stage: np.ndarray, key: np.ndarray):
+        """Edges stage by stage, with the places where a new key begins; edges come grouped by key."""
+        order = np.argsort(stage.astype(np.int16) if len(stage) and stage.max() < 2**15 else stage, kind="stable")
+        cuts = np.flatnonzero(np.diff(stage[order])) + 1
+        for at in np.split(order, cuts) if len(order) else ():
+            yield at, np.concatenate([[0], np.flatnonzero(np.diff(key[at])) + 1])
+
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best segmentation of all words: ids, each word's bounds in them, and each word's loss of its second best."""
         length = np.diff(self.bounds)
-        used = np.zeros((len(self.ids), len(self.codes)), bool)
+        used = np.zeros(len(self.codes) + len(length), np.int64)  # length of the piece of the best path that ends at a node
         at, word = length.copy(), np.arange(len(length))
         while len(word):
             keep = at > 0
             word, at = word[keep], at[keep]
             k = self.back[self.node[word] + at]
-            used[k - 1, self.bounds[word] + at - 1] = True
+            used[self.node[word] + at] = k
             at = at - k
-        owner = np.repeat(np.arange(len(length)), length)
-        through = np.full(len(self.codes), 4 * _LOW)
-        place = np.arange(len(self.codes)) - self.bounds[:-1][owner]
-        for k in range(len(self.ids)):
-            i = np.flatnonzero((place >= k) & (self.ids[k] != -1) & ~used[k])
-            through[i] = np.maximum(through[i], self.forward[self.node[owner[i]] + place[i] - k] + self.score[k, i] + self.backward[self.node[owner[i]] + place[i] + 1])
-        second = np.maximum.reduceat(through, self.bounds[:-1]) if len(length) else through
+        on = used[self.to] == self.kind + 1
+        owner = np.searchsorted(self.bounds, self.end, "right") - 1
+        through = self.forward[self.source] + self.cost + self.backward[self.to]
+        through[on] = 4 * _LOW
+        first = np.searchsorted(owner, np.arange(len(length)))
+        second = np.maximum.reduceat(through, first) if len(length) else through
         loss = np.where(second > 2 * _LOW, self.best - second, 2**62)
-        end, kind = np.nonzero(used.T)
-        ids = self.ids[kind, end]
-        word = owner[end]
+        end, word = self.end[on], owner[on]
+        ids = self.ids[end, self.kind[on]].astype(np.int64)
         spelled = np.flatnonzero(ids == -2)
         count = np.ones(len(ids), np.int64)
         if len(spelled):
@@ -176,16 +190,16 @@ class Lattice:
             if not at:
                 out.append((g, self._spell(start, size, path)))
                 continue
-            for k in range(min(at, len(self.ids))):
-                if self.ids[k, start + at - 1] != -1:
-                    score = g + int(self.score[k, start + at - 1])
-                    heapq.heappush(heap, (-(score + int(self.forward[node + at - k - 1])), (*path, -(k + 1)), at - k - 1, score))
+            row = self.ids[start + at - 1]
+            for k in np.flatnonzero(row[:at] != -1).tolist():
+                score = g + (self.v.unk if row[k] == -2 else int(self.v.score[row[k]]))
+                heapq.heappush(heap, (-(score + int(self.forward[node + at - k - 1])), (*path, -(k + 1)), at - k - 1, score))
         return out
 
     def _spell(self, start: int, size: int, path: tuple[int, ...]) -> tuple[int, ...]:
         ids, at = [], start + size
         for k in path:
-            i = int(self.ids[-k - 1, at - 1])
+            i = int(self.ids[at - 1, -k - 1])
             ids.append([i] if i >= 0 else [int(self.v.byte_ids[b]) for b in chr(int(self.codes[at - 1])).encode("utf-8", "replace")])
             at += k
         return tuple(x for part in reversed(ids) for x in part)
@@ -207,38 +221,87 @@ def words_of(text: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return codes, np.concatenate([starts, [len(codes)]]), np.searchsorted(starts, first)
 
 
+class Known:
+    """Best segmentations of words a process has met, up to WORDS of them; and n best ones of those that were searched."""
+
+    def __init__(self) -> None:
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.start, self.count, self.best, self.loss = ([np.zeros(0, np.int64)] * 5)
+        self.searched: dict[int, list] = {}
+
+    def look_up(self, v: Vocabulary, keys: np.ndarray, words) -> np.ndarray:
+        """Entries of the words of these distinct, ascending keys; words(i) gives code points and bounds of some of them."""
+        at = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), bool)
+        if len(self.keys):
+            hit = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        entry = np.empty(len(keys), np.int64)
+        entry[hit] = self.entry[at[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            lattice = Lattice(v, *words(new))
+            ids, bounds, loss = lattice.pieces()
+            entry[new] = len(self.start) + np.arange(len(new))
+            self.start = np.concatenate([self.start, len(self.ids) + bounds[:-1]])
+            self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, np.diff(bounds)])
+            self.best, self.loss = np.concatenate([self.best, lattice.best]), np.concatenate([self.loss, loss])
+            self.keys, self.entry = np.insert(self.keys, at[new], keys[new]), np.insert(self.entry, at[new], entry[new])
+        return entry
+
+    def trim(self) -> None:
+        """Forgets all when there is too much, between slices."""
+        if len(self.keys) > WORDS:
+            self.__init__()
+
+
+@cache
+def _ranks(words: int, n: int) -> list[tuple[int, ...]]:
+    return [p for p in product(range(n), repeat=words) if prod(j + 1 for j in p) <= n]
+
+
 def encode_slice(v: Vocabulary, text: bytes, bounds: np.ndarray, n: int = NBEST) -> list[list[tuple[int, np.ndarray]]]:
     """The n best (score, ids) of each document of a slice, best first; an empty document has none."""
     codes, words, first = words_of(text, bounds)
     if not len(codes):
         return [[] for _ in bounds[:-1]]
     keys = Runs(codes.astype(np.uint64) + U64(1)).of(words[:-1], np.diff(words))
-    _, sample, which = np.unique(keys, return_index=True, return_inverse=True)
-    size = np.diff(words)[sample]
-    own = np.concatenate([[0], np.cumsum(size)])
-    lattice = Lattice(v, codes[np.repeat(words[:-1][sample] - own[:-1], size) + np.arange(own[-1])], own)
-    ids, at, loss = lattice.pieces()
-    count = np.diff(at)[which]
-    flat = ids[np.repeat(at[:-1][which] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+    distinct, sample, which = np.unique(keys, return_index=True, return_inverse=True)
+
+    def some(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = (words[1:] - words[:-1])[sample[i]]
+        own = np.concatenate([[0], np.cumsum(size)])
+        return codes[np.repeat(words[:-1][sample[i]] - own[:-1], size) + np.arange(own[-1])], own
+
+    known = v.known
+    entry = known.look_up(v, distinct, some)
+    which_entry = entry[which]
+    count = known.count[which_entry]
+    flat = known.ids[np.repeat(known.start[which_entry] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
     place = np.concatenate([[0], np.cumsum(count)])
-    score = np.concatenate([[0], np.cumsum(lattice.best[which])])
-    known: dict[int, list] = {}
-    out = []
+    score, losses = np.concatenate([[0], np.cumsum(known.best[which_entry])]), known.loss[which_entry]
+    near_words = []
     for a, b in zip(first[:-1], first[1:], strict=True):
+        k = min(n - 1, b - a)
+        near_words.append(np.sort(np.argpartition(losses[a:b], k - 1)[:k]) if 0 < k < b - a else np.arange(k))
+    wanted = np.unique(np.concatenate([which[a + w] for a, w in zip(first[:-1], near_words, strict=True)]))
+    wanted = np.array([u for u in wanted.tolist() if (int(distinct[u]), n) not in known.searched], np.int64)
+    if len(wanted):
+        lattice = Lattice(v, *some(wanted))
+        for i, u in enumerate(wanted.tolist()):
+            known.searched[int(distinct[u]), n] = lattice.nbest(i, n)
+    out = []
+    for a, b, near in zip(first[:-1], first[1:], near_words, strict=True):
         if a == b:
             out.append([])
             continue
         total, whole = int(score[b] - score[a]), flat[place[a] : place[b]]
-        near = loss[which[a:b]]
-        k = min(n - 1, b - a)
-        near = np.sort(np.argpartition(near, k - 1)[:k]) if 0 < k < b - a else np.arange(k)
         options = []
         for w in near:
-            u = int(which[a + w])
-            if u not in known:
-                known[u] = lattice.nbest(u, n)
-            options.append([(int(lattice.best[u]) - s, j, x) for j, (s, x) in enumerate(known[u])])
-        combos = sorted(product(*options), key=lambda c: (sum(x[0] for x in c), tuple(x[1] for x in reversed(c))))[:n]
+            u = which[a + w]
+            options.append([(int(known.best[entry[u]]) - s, j, x) for j, (s, x) in enumerate(known.searched[int(distinct[u]), n])])
+        # of two combinations, one that is nowhere worse comes first: ranks whose product is over n can't be among the n best
+        picks = [[o[j] for o, j in zip(options, pick, strict=True)] for pick in _ranks(len(options), n) if all(j < len(o) for o, j in zip(options, pick, strict=True))]
+        combos = sorted(picks, key=lambda c: (sum(x[0] for x in c), tuple(x[1] for x in reversed(c))))[:n]
         best = [(total, whole)]
         for c in combos[1:]:
             parts, done = [], 0
@@ -247,6 +310,7 @@ def encode_slice(v: Vocabulary, text: bytes, bounds: np.ndarray, n: int = NBEST)
                 done = place[a + w + 1] - place[a]
             best.append((total - sum(x[0] for x in c), np.concatenate([*parts, whole[done:]])))
         out.append(best)
+    known.trim()
     return out
 
 
@@ -266,7 +330,7 @@ def encode(docs: DataFrame, model_path: str | None = None, n: int = NBEST, keep_
         for batch in batches:
             data, offsets = string_buffers(batch.column("_text"))
             null = batch.column("_text").is_null().to_numpy(zero_copy_only=False)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE_BYTES):
                 raw, bounds = data[offsets[a] : offsets[b]].tobytes(), offsets[a : b + 1] - offsets[a]
                 found = encode_slice(v, raw, bounds, n)
                 ids = [x[0][1] if x else np.zeros(0, np.int64) for x in found]
