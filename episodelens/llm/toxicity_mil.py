@@ -63,13 +63,44 @@ def _distinct(bucket: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.
     return (key & ((1 << BITS) - 1)).astype(np.int32), key >> BITS
 
 
-def _bag_rows(batches):
+def _frequencies(batches):
+    """One row a task: bags, bags labelled 1, and of each bucket the bags that hold it and those labelled 1."""
+    n, good, seen, toxic = 0, 0, np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for part, words in batches_of(batches):
         bucket, sentence, doc, _ = bags(words)
-        bucket, sentence = _distinct(bucket, sentence)
-        at = np.searchsorted(doc[sentence], np.arange(part.num_rows + 1)) if len(doc) else np.zeros(part.num_rows + 1, int)
-        first = np.searchsorted(doc, np.arange(part.num_rows))
-        yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([bucket[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([(sentence[a:b] - f).astype(np.int32).tobytes() for a, b, f in zip(at[:-1], at[1:], first, strict=True)], pa.binary())], ["y", "buckets", "sentences"])
+        y = part.column("y").to_numpy() == 1
+        once = np.unique(doc[sentence].astype(np.int64) << BITS | bucket) if len(doc) else np.zeros(0, np.int64)
+        key, bag = once & ((1 << BITS) - 1), once >> BITS
+        seen += np.bincount(key, minlength=1 << BITS).astype(np.int32)
+        toxic += np.bincount(key[y[bag]], minlength=1 << BITS).astype(np.int32)
+        n, good = n + len(y), good + int(y.sum())
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([good], pa.int64()), pa.array([seen.tobytes()], pa.binary()), pa.array([toxic.tobytes()], pa.binary())], ["n", "good", "seen", "toxic"])
+
+
+def telling_words(n: int, good: int, seen: np.ndarray, toxic: np.ndarray, least: int = 3, lift: float = 3.5) -> np.ndarray:
+    """Buckets in `least` bags or more that are by `lift` standard errors commoner in bags labelled 1."""
+    share, rate = seen / max(n, 1), good / max(n, 1)
+    score = (toxic - share * good) / np.sqrt(np.maximum(n * share * (1 - share) * rate * (1 - rate), 1e-12))
+    return np.flatnonzero((seen >= least) & (score >= lift))
+
+
+def _bag_rows(used):
+    """Per bag: y, its number of sentences, and its telling words with their sentences."""
+
+    def run(batches):
+        local = np.full(1 << BITS, -1, np.int32)
+        local[used] = np.arange(len(used))
+        for part, words in batches_of(batches):
+            bucket, sentence, doc, _ = bags(words)
+            size = np.bincount(doc, minlength=part.num_rows)
+            first = np.cumsum(size) - size
+            keep = local[bucket] >= 0
+            word, sentence = _distinct(local[bucket[keep]], sentence[keep])
+            bounds = np.searchsorted(doc[sentence], np.arange(part.num_rows + 1)) if len(doc) else np.zeros(part.num_rows + 1, int)
+            pairs = list(zip(bounds[:-1], bounds[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(size, pa.int32()), pa.array([word[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([(sentence[i:j] - f).astype(np.int32).tobytes() for (i, j), f in zip(pairs, first, strict=True)], pa.binary())], ["y", "size", "words", "sentences"])
+
+    return run
 
 
 def sentence_logits(w: np.ndarray, b: float, bucket: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
@@ -81,34 +112,22 @@ def bag_scores(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(doc, np.logaddexp(0, np.clip(z, -40, 40)), n))
 
 
-def fit(y: np.ndarray, buckets: list[np.ndarray], sentences: list[np.ndarray], rounds: int = 400, rate: float = 0.5, least: int = 3, lift: float = 3.5, l1: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias.  Only words in `least` bags or more, and by `lift` standard errors commoner in bags labelled 1, are learned."""
-    w = np.zeros(1 << BITS)
-    if len(set(y.tolist())) < 2:
-        return w, -40.0
-    bag = np.repeat(np.arange(len(y)), [len(x) for x in buckets])
-    bucket = np.concatenate(buckets)
-    once = np.unique(bag.astype(np.int64) << BITS | bucket)
-    seen = np.bincount(once & ((1 << BITS) - 1), minlength=1 << BITS)
-    toxic = np.bincount(once & ((1 << BITS) - 1), y[once >> BITS] == 1, 1 << BITS)
-    share, good = seen / len(y), (y == 1).mean()
-    telling = (toxic - share * good * len(y)) / np.sqrt(np.maximum(len(y) * share * (1 - share) * good * (1 - good), 1e-12))
-    base = np.cumsum([0, *(int(s.max(initial=-1)) + 1 for s in sentences)])
-    sentence = np.concatenate(sentences) + base[bag]
-    doc = np.repeat(np.arange(len(y)), np.diff(base))
-    keep = (seen[bucket] >= least) & (telling[bucket] >= lift)
-    used, local = np.unique(bucket[keep], return_inverse=True)
-    sentence = sentence[keep]
-    if not len(used):
-        return w, -40.0
-    v, b, squares, b_square = np.zeros(len(used)), -5.0, np.full(len(used), 1e-8), 1e-8
+def fit(y: np.ndarray, sizes: np.ndarray, words: list[np.ndarray], sentences: list[np.ndarray], n_words: int, rounds: int = 400, rate: float = 0.5, l1: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Weights of the telling words, and the bias."""
+    v, b, squares, b_square = np.zeros(n_words), -5.0, np.full(n_words, 1e-8), 1e-8
+    if len(set(y.tolist())) < 2 or not n_words:
+        return v, -40.0
+    base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    local = np.concatenate(words)
+    sentence = np.concatenate(sentences) + np.repeat(base[:-1], [len(x) for x in words])
+    doc = np.repeat(np.arange(len(y)), sizes)
     n, m = len(y), len(doc)
     for _ in range(rounds):
         z = np.bincount(sentence, v[local], m) + b
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         whole = np.clip(bag_scores(z, doc, n), 1e-9, 1)
         slope = p * np.where(y[doc] == 1, -(1 - whole[doc]) / whole[doc], 1.0) / n
-        g = np.bincount(local, slope[sentence], len(used))
+        g = np.bincount(local, slope[sentence], n_words)
         squares += g * g
         step = rate / np.sqrt(squares)
         v = v - step * g
@@ -116,17 +135,22 @@ def fit(y: np.ndarray, buckets: list[np.ndarray], sentences: list[np.ndarray], r
         gb = slope.sum()
         b_square += gb * gb
         b = min(-2.0, b - rate * gb / np.sqrt(b_square))
-    w[used] = v
-    return w, float(b)
+    return v, float(b)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, locate: float = 0.5) -> DataFrame:
     """docs' doc_id with held_out, score, predicted and offending: sentences (byte span, score) of at least `locate`."""
-    got = labelled_sample(docs, labels, "toxic", remainder(3) != 1, sample).select("text", "y").mapInArrow(_bag_rows, "y int, buckets binary, sentences binary").toPandas()
-    got = got.sort_values(["y", "buckets", "sentences"], kind="stable")
-    w, b = fit(got.y.to_numpy(), [np.frombuffer(x, np.int32) for x in got.buckets], [np.frombuffer(x, np.int32) for x in got.sentences])
-    used = np.flatnonzero(w)
-    model = (used.astype(np.int32), w[used])
+    rows = labelled_sample(docs, labels, "toxic", remainder(3) != 1, sample).select("text", "y")
+    n, good, seen, toxic = 0, 0, np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for r in rows.mapInArrow(_frequencies, "n long, good long, seen binary, toxic binary").toLocalIterator():
+        n, good = n + r.n, good + r.good
+        seen += np.frombuffer(r.seen, np.int32)
+        toxic += np.frombuffer(r.toxic, np.int32)
+    used = telling_words(n, good, seen, toxic)
+    got = rows.mapInArrow(_bag_rows(used), "y int, size int, words binary, sentences binary").toPandas()
+    got = got.sort_values(["y", "size", "words", "sentences"], kind="stable")
+    v, b = fit(got.y.to_numpy(), got["size"].to_numpy(), [np.frombuffer(x, np.int32) for x in got.words], [np.frombuffer(x, np.int32) for x in got.sentences], len(used))
+    model = (used[v != 0].astype(np.int32), v[v != 0])
 
     def score(batches):
         weights = np.zeros(1 << BITS)
