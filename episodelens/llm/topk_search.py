@@ -7,7 +7,7 @@ are merged in a tree.  A stated set of queries meets all rows in blocks; the
 number of rounds grows with the queries, memory doesn't.
 
 Products are exact: float64 while no sum can reach 2**53, Python integers
-beyond.  Vectors that are null, hold a null or a non-finite component, or have
+beyond; a score outside 64 bits is an error.  Vectors that are null, hold a null or a non-finite component, or have
 another length than the query take no part; so do null ids.  Of rows that
 repeat an id, each is a candidate and the one with the smallest vector is the
 query; a query never finds rows of its own id.

@@ -8,7 +8,7 @@ then the sentences over a threshold are located.
 
 Sentences end after . ! ? or a line break.  A null or empty text has no
 sentence and score 0; a null doc_id is never learned from and isn't held out;
-without both labels in the sample every score is 0.  Other columns are
+without both labels in the sample every score is under 1e-9.  Other columns are
 ignored, repeated rows are scored each.
 """
 
