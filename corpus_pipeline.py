@@ -29,11 +29,17 @@ REJECT_BELOW = 0.3
 ORACLE_SQL = None
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with names that no operator uses, but for doc_id and text; and those names, in order."""
+    names = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known, table = language_id.train(docs)
-    judged = language_id.predict(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"), known, table)
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW))
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    rows, names = _renamed(docs)
+    kept = language_id.predict(rows, known, table).where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW))
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +50,12 @@ def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    # null unless a word went
-    text = F.col("kept_text")
-    new = {"text": F.coalesce(text, F.col("row").getField("text")), "n_chars": F.when(text.isNull(), F.col("row").getField("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {"text": F.coalesce(text, F.col("row").getField("text"))}
-    return substring_dedup.substring_dedup(row).select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    rows, names = _renamed(docs)
+    out = substring_dedup.substring_dedup(rows).withColumn("text", F.coalesce("kept_text", "text"))  # null unless a word went
+    if "n_chars" in docs.columns:
+        n = names[docs.columns.index("n_chars")]
+        out = out.withColumn(n, F.when(F.col("kept_text").isNull(), F.col(n)).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*names).toDF(*docs.columns)
 
 
 def stage_mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +65,7 @@ def stage_mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_lattice.encode(docs).drop("text", "ids_md5")
+    return piece_lattice.encode(docs, keep_text=False).drop("ids_md5")
 
 
 STAGES = [

@@ -19,7 +19,7 @@ _BYTE_VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63,
 _BYTE_VALUE_LOWER = _BYTE_VALUE[_LOWER]
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes of text handled at once; a single longer document is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 class _Powers:

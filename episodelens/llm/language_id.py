@@ -95,7 +95,7 @@ def predict(docs: DataFrame, known: list[str], table: np.ndarray) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             z, grams = np.zeros((n, max(1, len(names)))), np.zeros(n)
-            data, offsets = string_buffers(batch.column("_text"))
+            data, offsets = string_buffers(batch.column("text"))
             for a, b in slices(offsets):
                 slots, owner = gram_slots(data[offsets[a] : offsets[b]].tobytes(), offsets[a : b + 1] - offsets[a])
                 grams[a:b] = np.bincount(owner, minlength=b - a)
@@ -105,12 +105,11 @@ def predict(docs: DataFrame, known: list[str], table: np.ndarray) -> DataFrame:
             best = z.argmax(1)
             p = 1 / np.exp((z - z.max(1, keepdims=True)) / np.sqrt(np.maximum(grams, 1))[:, None]).sum(1)
             pred = [names[i] if ok else "und" for i, ok in zip(best, letters, strict=True)]
-            kept = [batch.column(i) for i in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(np.where(letters, p, 0.0))], names=[*batch.schema.names[:-2], "lang_pred", "score"])
+            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(np.where(letters, p, 0.0))], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    text = F.col("text").cast("string")
-    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")))
-    full = base.withColumn("_text", text).withColumn("_letters", F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score"))).withColumn("text", F.col("text").cast("string"))
+    full = base.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return full.mapInArrow(score, f"{kind}, lang_pred string, score double")
 

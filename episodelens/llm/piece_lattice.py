@@ -314,22 +314,22 @@ def encode_slice(v: Vocabulary, text: bytes, bounds: np.ndarray, n: int = NBEST)
     return out
 
 
-def encode(docs: DataFrame, model_path: str | None = None, n: int = NBEST, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str | None = None, n: int = NBEST, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """docs with piece_ids (null unless keep_ids), n_pieces, ids_md5 (of little-endian int32), score, nbest (score, n_pieces, ids_md5), decoded_ok.
 
     Columns of docs with these names are replaced.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path or default_model()))
     new = ["piece_ids", "n_pieces", "ids_md5", "score", "nbest", "decoded_ok"]
-    columns = [c for c in docs.columns if c not in new]
+    columns = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
     digest = lambda ids: hashlib.md5(ids.astype("<i4").tobytes()).hexdigest()
     best_type = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_md5", pa.string())]))
 
     def run(batches):
         v = vocabulary.value
         for batch in batches:
-            data, offsets = string_buffers(batch.column("_text"))
-            null = batch.column("_text").is_null().to_numpy(zero_copy_only=False)
+            data, offsets = string_buffers(batch.column("text"))
+            null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
             for a, b in slices(offsets, SLICE_BYTES):
                 raw, bounds = data[offsets[a] : offsets[b]].tobytes(), offsets[a : b + 1] - offsets[a]
                 found = encode_slice(v, raw, bounds, n)
@@ -342,8 +342,8 @@ def encode(docs: DataFrame, model_path: str | None = None, n: int = NBEST, keep_
                 best = pa.array([None if g else [{"score": s / 1000, "n_pieces": len(x), "ids_md5": digest(x)} for s, x in f] for f, g in zip(found, gone, strict=True)], best_type)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists, pa.array([None if g else len(x) for x, g in zip(ids, gone, strict=True)], pa.int64()), pa.array([None if g else digest(x) for x, g in zip(ids, gone, strict=True)], pa.string()), pa.array([None if g else (f[0][0] / 1000 if f else 0.0) for f, g in zip(found, gone, strict=True)], pa.float64()), best, pa.array([None if g else o for o, g in zip(ok, gone, strict=True)], pa.bool_())], names=[*columns, *new])
 
-    full = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").cast("string").alias("_text"))
-    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    full = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c in columns or c == "text")).withColumn("text", F.col("text").cast("string"))
+    kind = ", ".join(f"`{c}` {full.schema[c].dataType.simpleString()}" for c in columns)
     return full.mapInArrow(run, f"{kind}, piece_ids array<int>, n_pieces long, ids_md5 string, score double, nbest array<struct<score: double, n_pieces: bigint, ids_md5: string>>, decoded_ok boolean")
 
 
@@ -364,5 +364,5 @@ def decode(pieces: DataFrame, model_path: str | None = None, ids: str = "piece_i
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = encode(docs, keep_ids=False).select("doc_id", "n_pieces", "ids_md5", "score", "nbest", "decoded_ok")
+    out = encode(docs, keep_ids=False, keep_text=False).select("doc_id", "n_pieces", "ids_md5", "score", "nbest", "decoded_ok")
     return out.select("doc_id", "n_pieces", "ids_md5", "score", F.transform("nbest", lambda x: x["score"]).alias("nbest_scores"), "decoded_ok")

@@ -162,7 +162,7 @@ def kept_bytes(words: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _apply(window: int, columns: list[str]):
     def run(batches):
-        for part, words in batches_of(batches, "_text"):
+        for part, words in batches_of(batches):
             gone = _removed(words, part, window)
             data, bounds = kept_bytes(words, ~gone)
             n = np.diff(words.first)
@@ -194,8 +194,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
     mixed = bodies.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     chosen = bodies.join(mixed, "anchor", "left_semi").select("one.*").groupBy("id", "rk").agg(F.collect_list("block").alias("blocks"))
     suffixes = tables.keep(keyed.join(chosen, ["id", "rk"]).mapInArrow(_suffixes(window), "p8 long, p16 long, path long, id long, rk long, start int"), "suffixes")
-    one = suffixes.groupBy("p8").agg(F.count("*").alias("n")).where(f"n > {group}").select("p8", F.lit(True).alias("large"))
-    two = suffixes.join(one.drop("large"), "p8", "left_semi").groupBy("p8", "p16").agg(F.count("*").alias("n")).where(f"n > {group}").select("p8", "p16", F.lit(True).alias("larger"))
+    # written, so that the joins know how few they are
+    one = tables.keep(suffixes.groupBy("p8").agg(F.count("*").alias("n")).where(f"n > {group}").select("p8", F.lit(True).alias("large")), "large")
+    two = tables.keep(suffixes.join(one.drop("large"), "p8", "left_semi").groupBy("p8", "p16").agg(F.count("*").alias("n")).where(f"n > {group}").select("p8", "p16", F.lit(True).alias("larger")), "larger")
     prefix = F.when(F.col("larger"), F.xxhash64("p8", "p16", "path")).when(F.col("large"), F.xxhash64("p8", "p16")).otherwise(F.col("p8"))
     grouped = suffixes.join(one, "p8", "left").join(two, ["p8", "p16"], "left").select(prefix.alias("prefix"), "p8", "p16", "path", "id", "rk", "start", F.lit(False).alias("seen"))
     leaves = grouped.repartition("prefix").sortWithinPartitions("prefix", "p8", "p16", "path").drop("prefix").mapInArrow(_subtrees, "id long, rk long, start int")
@@ -204,9 +205,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
     tables.drop("suffixes")
     new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     columns = [c for c in docs.columns if c not in new]
-    full = docs.select(*(F.col(f"`{c}`") for c in columns), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_key"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("_hash"), text.alias("_text"))
+    full = docs.select(*(F.col(f"`{c}`") for c in columns)).withColumn("text", text).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     joined = full.join(marks, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_rk")), "left").drop("_id", "_rk", "_key", "_hash")
-    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    kind = ", ".join(f"`{c}` {full.schema[c].dataType.simpleString()}" for c in columns)
     return joined.mapInArrow(_apply(window, columns), f"{kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
