@@ -20,11 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Bytes of the Arrow batches that Python workers get.
 BATCH_BYTES = 8 << 20
+#: Rows of a Parquet reader's vectors: texts are long, and vectors of the default 4096 rows take tens of MB of heap a task.
+READER_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers by bytes, for texts may be long; the session keeps the setting."""
+    """Bounds the memory of Python workers and of Parquet readers, for texts may be long; the session keeps the settings."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 class Tables:
