@@ -352,7 +352,8 @@ def _links(tables: Tables, sets: DataFrame, pairs: DataFrame, name: str) -> Data
     """Those of pairs (a, b) whose sets link."""
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
-    return tables.keep(both.mapInArrow(_verify, "a long, b long"), f"{name}-links")
+    # few rows are left of much read: a shuffle of them spares one small file for each task
+    return tables.keep(both.mapInArrow(_verify, "a long, b long").repartition("a", "b"), f"{name}-links")
 
 
 def _open_lists(entries: DataFrame) -> tuple[DataFrame, int, int]:
