@@ -356,6 +356,16 @@ def _links(tables: Tables, sets: DataFrame, pairs: DataFrame, name: str) -> Data
     return tables.keep(both.mapInArrow(_verify, "a long, b long").repartition("a", "b"), f"{name}-links")
 
 
+def _joined(tables: Tables, label: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(node, label) after more links: components of the graph whose nodes are the components so far, far fewer than nodes."""
+    start, end = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    ends = links.join(start, "a", "left").join(end, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    over = components(tables, ends.where("a <> b"), name)
+    new = over.select("node", F.col("node").alias("label")).join(label, "node", "left_anti")
+    moved = label.union(new).join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return tables.keep(moved.select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels")
+
+
 def _open_lists(entries: DataFrame) -> tuple[DataFrame, int, int]:
     """Lists that hold several components, the number of pairs of different components in them, and of entries."""
     sizes = entries.groupBy("list", "label").agg(F.count("*").alias("n"))
@@ -411,8 +421,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = tables.keep(some.mapInArrow(_sets(slots), "node long, elements binary"), "sets")
     links = pairs.where("sure").select("a", "b").union(_links(tables, sets, pairs.where("not sure").select("a", "b"), "first"))
     tested, turn = pairs.select("a", "b"), 0
+    label = components(tables, links, "cc")
     while entries.limit(1).count():
-        label = components(tables, links, f"cc-long-{turn}")
         labelled = tables.keep(entries.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), f"labelled-{turn}")
         lists, cost, n = _open_lists(labelled)
         labelled = labelled.join(lists, "list")
@@ -425,12 +435,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
         else:
             more = _pivot_pairs(labelled, turn)
         more = tables.keep(more.join(tested, ["a", "b"], "left_anti"), f"more-{turn}")
-        links, tested = links.union(_links(tables, sets, more, f"more-{turn}")), tested.union(more)
+        fresh = _links(tables, sets, more, f"more-{turn}")
+        links, tested, label = links.union(fresh), tested.union(more), _joined(tables, label, fresh, f"cc-{turn}")
         if last:
             break
         turn += 1
     copies = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    label = components(tables, links, "cc")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = copies.join(label, "node", "left").join(degree, "node", "left").select("sig1", "sig2", "n_shingles", F.coalesce("label", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     joined = rows.join(classes, ["sig1", "sig2", "n_shingles"], "left")
