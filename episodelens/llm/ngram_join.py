@@ -5,7 +5,8 @@ lower-cased; with fewer words the whole sequence is the one shingle).  Two
 documents link when ``100 * |A & B| >= 75 * |A | B|``.
 
 * Light sets (size up to a boundary) meet by enumerating all subsets of the
-  size that an admissible pair must share; a shared subset is a link.
+  size that an admissible pair must share; a shared subset links a set of the
+  pair's smaller size with the others (two of the larger size may share too few).
 * Heavy sets scan inverted lists: the lists of a set's rarest shingles, by the
   prefix principle (any fixed global order gives the same links; rarity only
   keeps lists short), against all sets, light ones near the boundary included.
@@ -147,7 +148,7 @@ def _prefixes(levels):
 
 
 def _postings(boundary: int):
-    """(list, node, place): entries of inverted lists, place packing size and position; and enumerated subsets, place 0."""
+    """(list, node, place): entries of inverted lists, place packing size and position; and enumerated subsets, place -1 for sets of the smaller size of the pair and 0 for larger ones."""
 
     def run(batches):
         for batch in batches:
@@ -169,7 +170,7 @@ def _postings(boundary: int):
                 made = [hash((small, large, s, *chosen)) for small, large, s in subsets_of(int(sizes[i]), boundary) for chosen in combinations(own, s)]
                 keys.append(np.array(made, np.int64))
                 owners.append(np.full(len(made), nodes[i]))
-                places.append(np.zeros(len(made), np.int64))
+                places.append(np.array([-1 if small == sizes[i] else 0 for small, _, s in subsets_of(int(sizes[i]), boundary) for _ in range(comb(int(sizes[i]), s))], np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, owners, places)], ["list", "node", "place"])
 
     return run
@@ -198,9 +199,9 @@ def _scan_lists(boundary: int):
         length = np.diff(np.concatenate([first, [len(keys)]]))
         size = np.repeat(length, length)
         a, b, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        # enumerated subsets: all members link with the first one
-        sub = np.flatnonzero((places == 0) & (size > 1))
+        # enumerated subsets: all members link with the first one, if that is of the smaller size
         head = np.repeat(first, length)
+        sub = np.flatnonzero((places <= 0) & (places[head] < 0) & (size > 1))
         a.append(nodes[head[sub]])
         b.append(nodes[sub])
         sure.append(np.ones(len(sub), bool))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("episodelens.llm.registry")
@@ -92,6 +93,40 @@ def test_join_of_many_near_copies(spark, monkeypatch):
     assert got == brute_join(rows)
 
 
+def scanned_pairs(sets, boundary, batch_rows=10_000):
+    """Pairs (a, b, sure) that the lists of sets give, streamed in batches of so many rows."""
+    blobs = [np.array(sorted(x), np.uint64).tobytes() for x in sets]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(blobs, pa.binary())], ["node", "n_shingles", "first"])
+    entries = pa.Table.from_batches(ngram_join._postings(boundary)([rows])).sort_by([("list", "ascending"), ("place", "ascending"), ("node", "ascending")])
+    found = pa.Table.from_batches(ngram_join._scan_lists(boundary)(entries.combine_chunks().to_batches(batch_rows))).to_pylist()
+    return {(r["a"], r["b"], r["sure"]) for r in found if r["list"] is None}
+
+
+@pytest.mark.parametrize("boundary", range(1, 13))
+def test_shared_subsets_are_links(boundary):
+    """Sets that differ in one or two elements, with and without a smaller set that shares the rest."""
+    link = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    for n in range(2, 13):
+        for smaller in (False, True):
+            sets = [set(range(1, n)) | {100 + i} for i in range(3)] + [set(range(1, n - 1)) | {200, 201}] + [set(range(1, n))] * smaller
+            pairs = scanned_pairs(sets, boundary)
+            assert all(link(sets[a], sets[b]) for a, b, sure in pairs if sure)
+            root = list(range(len(sets)))
+            for a, b, _ in pairs:
+                if link(sets[a], sets[b]):
+                    low, high = sorted((root[a], root[b]))
+                    root = [low if r == high else r for r in root]
+            assert all(root[a] == root[b] for a in range(len(sets)) for b in range(a) if link(sets[a], sets[b]))
+
+
+def test_join_of_short_texts(spark, monkeypatch):
+    """Texts of 8 to 13 words that differ in the last one, at a boundary that takes all as light."""
+    monkeypatch.setattr(ngram_join, "choose_boundary", lambda *_: 12)
+    rows = list(enumerate(" ".join([f"{n}x{i}" for i in range(n - 1)] + [end]) for n in range(8, 14) for end in ("y", "z")))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(spark, docs(spark, rows)).collect()}
+    assert got == brute_join(rows)
+
+
 def test_join_edges(spark):
     assert ngram_join.ngram_jaccard_join(spark, docs(spark, []).limit(0)).count() == 0
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f"), (2, None)]
