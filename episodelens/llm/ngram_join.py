@@ -417,7 +417,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = scanned.where("list is null").groupBy("a", "b").agg(F.max("sure").alias("sure"))
     pairs = tables.keep(pairs, "pairs")
     entries = scanned.where("list is not null").select("list", F.col("a").alias("node"), "place")
-    slots = spark.sparkContext.broadcast(_slot_map(pairs.select(F.explode(F.array("a", "b")).alias("node"))).tobytes())
+    # sets of all entries of long lists too: pivots and blocks pair nodes that are in no pair so far
+    slots = spark.sparkContext.broadcast(_slot_map(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(entries.select("node"))).tobytes())
     some = texts.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
     sets = tables.keep(some.mapInArrow(_sets(slots), "node long, elements binary"), "sets")
     links = pairs.where("sure").select("a", "b").union(_links(tables, sets, pairs.where("not sure").select("a", "b"), "first"))

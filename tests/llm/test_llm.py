@@ -127,6 +127,15 @@ def test_join_of_short_texts(spark, monkeypatch):
     assert got == brute_join(rows)
 
 
+def test_join_with_a_hub_of_its_own(spark):
+    """In its long lists the largest set follows a set too small for it, so that it opens a hub after which nobody comes."""
+    base = [f"w{i}" for i in range(124)]
+    texts = [[*base, f"v{i}"] for i in range(60)] + [base[20:], base[:-20], base + [f"u{i}" for i in range(14)]]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(spark, docs(spark, rows)).collect()}
+    assert ngram_join.LONG == 48 and got[62] == (134, 0) and got == brute_join(rows)
+
+
 def test_join_edges(spark):
     assert ngram_join.ngram_jaccard_join(spark, docs(spark, []).limit(0)).count() == 0
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f"), (2, None)]
