@@ -258,8 +258,9 @@ def _scan_lists(boundary: int):
                     whole[last:] = False
                 if whole.any():
                     yield from lists(*(h[whole] for h in held))
-                keep = open_list is None and len(held[0]) - last <= LONG
-                held = [h[last:] if keep else h[:0] for h in held]
+                # of a long list of a shared subset, which may go on, the first entry stays: later ones link with it
+                keep = slice(0, 0) if open_list is not None else slice(last, None if len(held[0]) - last <= LONG else last + 1)
+                held = [h[keep] for h in held]
                 break
         if len(held[0]):
             yield from lists(*held)

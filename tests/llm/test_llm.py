@@ -119,6 +119,17 @@ def test_shared_subsets_are_links(boundary):
             assert all(root[a] == root[b] for a in range(len(sets)) for b in range(a) if link(sets[a], sets[b]))
 
 
+@pytest.mark.parametrize("batch_rows", [60, 64, 100, 131, 10_000])
+def test_shared_subset_over_batches(batch_rows):
+    """Lists of shared subsets longer than a batch, with and without a smaller set, keep their members together."""
+    for sets in ([set(range(1, 9)) | {100 + i} for i in range(400)], [set(range(1, 9)), *(set(range(1, 9)) | {100 + i, 500 + i} for i in range(300))]):
+        root = list(range(len(sets)))
+        for a, b, _ in scanned_pairs(sets, 12, batch_rows):
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        assert set(root) == {0}
+
+
 def test_join_of_short_texts(spark, monkeypatch):
     """Texts of 8 to 13 words that differ in the last one, at a boundary that takes all as light."""
     monkeypatch.setattr(ngram_join, "choose_boundary", lambda *_: 12)
