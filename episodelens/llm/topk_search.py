@@ -48,9 +48,13 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Partial selection: (query row, id, score) of each row's k largest scores, ties to the smaller id.  Columns follow ascending ids."""
-    rows, cols = [], []
-    kth = np.partition(scores.astype(float), max(scores.shape[1] - k - 1, 0), axis=1)[:, max(scores.shape[1] - k - 1, 0)] if scores.dtype != object else None
+    """Partial selection: (query row, id, score) of each row's k largest scores, ties to the smaller id; rows of the query's own id take no place.  Columns follow ascending ids."""
+    rows, cols, kth = [], [], None
+    if scores.dtype != object:
+        others, at = scores.astype(float), max(scores.shape[1] - k, 0)
+        for i, (a, b) in enumerate(zip(np.searchsorted(ids, own), np.searchsorted(ids, own, "right"), strict=True)):
+            others[i, a:b] = -np.inf
+        kth = np.partition(others, at, axis=1)[:, at]
     for i in range(len(scores)):
         near = np.flatnonzero(scores[i] >= kth[i]) if kth is not None else np.arange(scores.shape[1])
         near = near[ids[near] != own[i]]

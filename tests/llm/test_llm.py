@@ -205,6 +205,22 @@ def test_top_k(spark):
     assert [(r.vec_id, r.score) for r in found] == [(2, 2**54 + 64 * 65), (1, 2**54 + 64 * 64)]
 
 
+@pytest.mark.parametrize("kind", [np.int64, object])
+def test_top_k_with_repeated_own_rows(kind):
+    """Rows of the query's own id that score best take no place of others, however many there are."""
+    rng = np.random.default_rng(3)
+    ids = np.sort(np.concatenate([rng.permutation(200)[:100], [40] * 5, [80] * 30]))
+    own = np.array([40, 80, 999])
+    scores = rng.integers(-9, 10, (3, len(ids)))
+    scores[own[:, None] == ids] = 50
+    r, i, s = topk_search.best(scores.astype(kind), ids, own, 20)
+    for q in range(3):
+        want = sorted(((int(x), int(v)) for x, v in zip(scores[q], ids) if v != own[q]), key=lambda x: (-x[0], x[1]))[:20]
+        assert list(zip(s[r == q].tolist(), i[r == q].tolist())) == want
+    r, _, _ = topk_search.best(np.ones((1, 3), kind), np.array([7, 7, 7]), np.array([7]), 20)
+    assert len(r) == 0
+
+
 def test_mixing_deviates_by_less_than_a_block():
     for seed in range(5):
         rng = np.random.default_rng(seed)
