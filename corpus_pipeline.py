@@ -13,11 +13,14 @@ substring_dedup removes words of passages that occur again; a text that loses
                 words becomes its kept words joined by one space, n_chars follows
 mix_sources     orders documents by their slot in the mix of sources: partitions
                 are ranges of slots, in order, and so are rows in them
-sentencepiece   encodes texts to pieces
+sentencepiece   encodes texts to pieces; mix_position numbers the rows of its docs
+                in order of (file name, row), so it is the order of mix_sources
+                however later files are split and read; run() returns rows in it
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,22 @@ def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*names), names
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that ascends in the order of rows: of files by name, or of partitions where docs isn't read from files."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    files = rows.groupBy("_file").agg((F.max("_at") + 1).alias("n")).orderBy("_file").collect()  # a row per file
+    starts, at = [], 0
+    for f in files:
+        starts.append((f["_file"], at))
+        at += f["n"]
+    start = docs.sparkSession.createDataFrame(starts, "_name string, _start long")
+    placed = rows.join(F.broadcast(start), F.col("_file") == F.col("_name"), "left")
+    return placed.withColumn(name, F.col("_start") + F.col("_at")).drop("_file", "_at", "_name", "_start")
+
+
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known, table = language_id.train(docs)
     rows, names = _renamed(docs)
@@ -65,7 +84,7 @@ def stage_mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_lattice.encode(docs, keep_text=False).drop("ids_md5")
+    return piece_lattice.encode(_numbered(docs, "mix_position"), keep_text=False).drop("ids_md5")
 
 
 STAGES = [
@@ -81,4 +100,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables, docs = Tables(spark, "corpus-pipeline"), documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = tables.keep(stage(spark, docs, sf_dir), name)
-    return docs
+    return docs.orderBy("mix_position")

@@ -423,3 +423,22 @@ def test_pipeline(spark, tmp_path):
     assert seen["substring_dedup"] == seen["mix_sources"] == seen["sentencepiece"] == seen["ngram_join"]
     assert pipeline.run(spark, str(tmp_path)).count() == len(seen["sentencepiece"])
     json.dumps(sorted(seen["mix_sources"]))
+
+
+def test_pipeline_keeps_the_mix(spark, tmp_path):
+    """The last stage's rows can be put in the order of the mix, though larger files are read first."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sizes = [3, 40, 9, 25]
+    ids = iter(np.random.default_rng(4).permutation(sum(sizes)).tolist())
+    want = []
+    for n, size in enumerate(sizes):
+        part = [(next(ids), f"some text {n} " * (1 + n)) for _ in range(size)]
+        want += [i for i, _ in part]
+        docs(spark, part).drop("score", "n_words").coalesce(1).write.parquet(str(tmp_path / f"{n}"))
+        (file,) = (tmp_path / f"{n}").glob("*.parquet")
+        (tmp_path / "mixed").mkdir(exist_ok=True)
+        file.rename(tmp_path / "mixed" / f"part-0000{n}.parquet")
+    out = pipeline.stage_sentencepiece(spark, spark.read.parquet(str(tmp_path / "mixed")), str(tmp_path)).repartition(3)
+    out.write.parquet(str(tmp_path / "pieces"))
+    rows = spark.read.parquet(str(tmp_path / "pieces")).orderBy("mix_position").collect()
+    assert [r.doc_id for r in rows] == want and [r.mix_position for r in rows] == list(range(len(want)))
