@@ -5,7 +5,8 @@ as Parquet and read again as the next stage's docs.  All but the last return
 the columns of docs.
 
 language_id     drops documents without a letter or text, and those whose best
-                language has a posterior under REJECT_BELOW
+                language has a posterior under REJECT_BELOW (none for that where
+                no language could be learned)
 ngram_join      keeps one document of each group of near copies: the one with
                 the smallest doc_id (one row of it, if rows repeat the doc_id);
                 rows with a null doc_id all stay
@@ -56,6 +57,8 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known, table = language_id.train(docs)
+    if not known:  # nothing was learned: no document is rejected for its language
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     rows, names = _renamed(docs)
     kept = language_id.predict(rows, known, table).where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW))
     return kept.select(*names).toDF(*docs.columns)

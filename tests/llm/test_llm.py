@@ -442,3 +442,9 @@ def test_pipeline_keeps_the_mix(spark, tmp_path):
     out.write.parquet(str(tmp_path / "pieces"))
     rows = spark.read.parquet(str(tmp_path / "pieces")).orderBy("mix_position").collect()
     assert [r.doc_id for r in rows] == want and [r.mix_position for r in rows] == list(range(len(want)))
+
+
+def test_pipeline_without_known_languages(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = docs(spark, ["a clean text", "12 !", "", None, "é"], lang=lambda i: None)
+    assert sorted(r.doc_id for r in pipeline.stage_language_id(spark, rows, "").collect()) == [0, 4]
