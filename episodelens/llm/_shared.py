@@ -1,18 +1,22 @@
-"""Written tables in the cluster's shared folder, and connected components."""
+"""Written tables in the cluster's shared folder, joins on hot keys, and connected components."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; an own one only where that is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; an own one only where that is unset and all is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="episodelens-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -30,26 +34,76 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
+_RUNS: list[Tables] = []
+
+
+def clean() -> None:
+    """Removes the intermediate tables of all operator runs of this driver; results that were not written are lost with them.  Runs when the driver ends."""
+    while _RUNS:
+        with suppress(Exception):  # the JVM may be gone
+            _RUNS.pop().drop()
+
+
+atexit.register(clean)
+
+
 class Tables:
-    """Intermediate tables of one operator run: written once, read many times, removed together."""
+    """Intermediate tables of one operator run: written once, read many times, removed by clean()."""
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _RUNS.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df as Parquet, which cuts its lineage, and returns a scan of it."""
         df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def drop(self, name: str = "") -> None:
+        """Removes a table, or all of them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables of fewer bytes are dealt anew, for all their rows may lie in one row group, which only one task can read.
+SMALL_TABLE = 32 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_TABLE:
+        return found.repartition(spark.sparkContext.defaultParallelism)
+    return found
+
+
+def sealed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[str]]:
+    """docs whose columns, but for those of keep, have names that no operator uses; and these names, in order."""
+    names, left = [], list(keep)
+    for i, c in enumerate(docs.columns):
+        names.append(c if c in left else f"_c{i}")
+        if c in left:
+            left.remove(c)
+    return docs.toDF(*names), names
+
+
+#: A key is hot if it holds more than one of so many rows: there are fewer hot keys than this.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, found: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with found (one row a key, no more) on keys; n: column of found, how many rows have the key.
+
+    Fewer than HOT keys can be hot, so these may be broadcast whatever the
+    input; rows of other keys meet theirs by a shuffle in which no key has more
+    than one in HOT of all rows.
+    """
+    hot = found.where(F.col(n) * HOT > total)
+    mark = hot.select(*keys, F.lit(True).alias("_hot"))
+    near = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(mark), keys, "left").where("_hot is null").drop("_hot")
+    return near.unionByName(rest.join(found.where(F.col(n) * HOT <= total), keys))
 
 
 def components(tables: Tables, edges: DataFrame, name: str = "cc") -> DataFrame:

@@ -16,7 +16,8 @@ SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BYTE_VALUE_LOWER = _BYTE_VALUE[_LOWER]
+_OTHER_VALUE = np.random.Generator(np.random.PCG64(71828182)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_BYTE_VALUE_LOWER, _OTHER_VALUE_LOWER = _BYTE_VALUE[_LOWER], _OTHER_VALUE[_LOWER]
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes of text handled at once; a single longer document is handled alone.
 CHUNK_BYTES = 1 << 19
@@ -63,6 +64,20 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def repaired(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets with U+FFFD for damaged UTF-8, document by document, so that none changes how another is read."""
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    if not ((data[heads] & 0xC0) == 0x80).any():  # no document begins inside a character, so all are whole if the slice is
+        try:
+            data.tobytes().decode()
+            return data, offsets
+        except UnicodeDecodeError:
+            pass
+    raw = data.tobytes()
+    texts = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES):
     """Ranges of documents whose bytes together stay within limit (one document at least)."""
     at, n = 0, len(offsets) - 1
@@ -98,14 +113,15 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """64-bit hash of each word, ASCII-lower-cased on request."""
+    def hashes(self, lower: bool = False, other: bool = False) -> np.ndarray:
+        """64-bit hash of each word, ASCII-lower-cased on request; other: of a second, independent function."""
         if not len(self):
             return np.zeros(0, np.uint64)
         up, down = _BYTES.upto(len(self.data) + 1)
         total = np.empty(len(self.data) + 1, np.uint64)
         total[0] = 0
-        np.cumsum((_BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[self.data] * up[: len(self.data)], out=total[1:])
+        values = ((_BYTE_VALUE, _BYTE_VALUE_LOWER), (_OTHER_VALUE, _OTHER_VALUE_LOWER))[other][lower]
+        np.cumsum(values[self.data] * up[: len(self.data)], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
     def texts(self) -> list[list[bytes]]:

@@ -13,15 +13,19 @@ documents link when ``100 * |A & B| >= 75 * |A | B|``.
 * The boundary minimises a cost: subsets enumerated below it plus list entries
   scanned above it, from the histogram of sizes and the mean list length.
 
-Equal sets are merged first, so a group of exact copies costs one set.  Lists
-over LONG entries first link each member with a hub, then with pivots; once the
-components of those links are known, only pairs of different components are
-compared there, in blocks of bounded size, so that a large group of near copies
-costs no quadratic work and no link between different components is missed.
+Equal sets, told by two independent hashes of 64 bits, are merged first, so a
+group of exact copies costs one set.  All candidate pairs, those of shared subsets
+too, are verified on whole sets.  Lists over LONG entries first link each member
+with a hub, then with pivots; once the components of those links are known, only
+pairs of different components are compared there, in blocks of bounded size, so
+that a large group of near copies costs no quadratic work and no link between
+different components is missed.  Many unlike texts that share their rarest
+shingles do cost a number of comparisons that grows with their square.
 
 Defined results: null, empty or blank text gives an empty set, n_shingles 0
 and no link; rows that repeat a doc_id count as one document; a row with a null
-doc_id takes no part and keeps a null component_id; other columns are ignored.
+doc_id takes no part and keeps a null component_id; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Tables, components, documents
+from ._shared import Tables, components, documents, hot_join
 from ._text import U64, Runs, batches_of, mix, window_starts
 
 SHINGLE = 5
@@ -46,8 +50,9 @@ MAX_LIGHT = 12
 LONG = 48
 #: Entries of a block of a long list.
 BLOCK = 1024
-#: Slots of the bitmap that spares other documents' sets the way to disk; its size is fixed, so it may be broadcast.
-FILTER_BITS = 23
+#: A bitmap of slots spares sets that are in no pair the way to disk: so many slots for each node, and up to 2**FILTER_BITS
+#: slots, so that it may be broadcast; of more nodes the sets are found by a join.
+FILTER_SLOTS, FILTER_BITS = 16, 27
 #: Long lists try so many pivots a turn, with a node's so many lists, and so many turns at most, before the remaining pairs of different components are compared.
 PIVOTS, LISTS, TURNS = 8, 4, 5
 
@@ -67,19 +72,23 @@ def index_prefix(n):
     return n - -(n * 6 // -7) + 1
 
 
-def shingle_sets(words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle hash of 56 bits) of a slice of documents; sorted, distinct."""
-    runs = Runs(words.hashes(lower=True))
+def shingle_sets(words, k: int = SHINGLE, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle hash, second independent hash on request) of a slice of documents; sorted, distinct."""
     starts, docs = window_starts(words.first, k)
     count = np.diff(words.first)
     few = np.flatnonzero((count > 0) & (count < k))
     docs = np.concatenate([docs, few])
-    hashes = np.concatenate([runs.of(starts, k), runs.of(words.first[:-1][few], count[few])]) >> U64(8)
+
+    def hashed(other: bool) -> np.ndarray:
+        runs = Runs(words.hashes(lower=True, other=other))
+        return np.concatenate([runs.of(starts, k), runs.of(words.first[:-1][few], count[few])])
+
+    hashes = hashed(False)
     order = np.lexsort((hashes, docs))
     docs, hashes = docs[order], hashes[order]
     new = np.ones(len(docs), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
-    return docs[new], hashes[new]
+    return docs[new], hashes[new], hashed(True)[order][new] if second else hashes[:0]
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -88,16 +97,22 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _described(part, words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]:
+    """Shingles of a slice by document, their bounds, set sizes, and the columns doc_id, n_shingles, sig1, sig2."""
+    docs, hashes, others = shingle_sets(words, second=True)
+    bounds = np.searchsorted(docs, np.arange(part.num_rows + 1))
+    n = np.diff(bounds)
+    return docs, hashes, bounds, [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(_sums(mix(hashes), bounds).view(np.int64)), pa.array(_sums(mix(others), bounds).view(np.int64))]
+
+
 def _describe(batches):
     """Rows of documents, and at the end of the task its part of the sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for part, words in batches_of(batches):
-        docs, hashes = shingle_sets(words)
-        bounds = np.searchsorted(docs, np.arange(part.num_rows + 1))
-        slots, times = np.unique(hashes >> U64(56 - SKETCH_BITS), return_counts=True)
+        _, hashes, _, columns = _described(part, words)
+        slots, times = np.unique(hashes >> U64(64 - SKETCH_BITS), return_counts=True)
         sketch[slots.astype(np.int64)] += times.astype(np.uint32)
-        n = np.diff(bounds)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(_sums(mix(hashes), bounds).view(np.int64)), pa.array(_sums(mix(hashes + U64(77)), bounds).view(np.int64)), pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())], ["doc_id", "n_shingles", "sig1", "sig2", "slot", "counts"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())], ["doc_id", "n_shingles", "sig1", "sig2", "slot", "counts"])
     blocks = np.minimum(sketch, 255).astype(np.uint8).reshape(SKETCH_BLOCKS, -1)
     used = [i for i in range(SKETCH_BLOCKS) if blocks[i].any()]
     none = pa.nulls(len(used), pa.int64())
@@ -105,7 +120,11 @@ def _describe(batches):
 
 
 def _merge_sketch(batches):
-    """Adds the parts of each slot block; fixed size whatever the input."""
+    """Adds the parts of each slot block; fixed size whatever the input.
+
+    In a large corpus each slot holds many rare shingles; the median slot tells
+    how many, and what exceeds it tells frequent shingles.
+    """
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for slot, counts in zip(batch.column("slot").to_pylist(), batch.column("counts"), strict=True):
@@ -113,7 +132,7 @@ def _merge_sketch(batches):
             sums.setdefault(slot, np.zeros(len(new), np.int64))
             sums[slot] += new
     for slot, total in sums.items():
-        level = np.minimum(np.floor(np.log2(np.maximum(total, 1)) * 8), 255).astype(np.uint8)
+        level = np.minimum(np.floor(np.log2(1 + np.maximum(total - int(np.median(total)), 0)) * 8), 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([float((total.astype(float) ** 2).sum())]), pa.array([float(total.sum())])], ["slot", "levels", "squares", "total"])
 
 
@@ -134,15 +153,14 @@ def _prefixes(levels):
     def run(batches):
         table = np.frombuffer(levels.value, np.uint8)
         for part, words in batches_of(batches):
-            docs, hashes = shingle_sets(words)
-            bounds = np.searchsorted(docs, np.arange(part.num_rows + 1))
+            docs, hashes, bounds, columns = _described(part, words)
             n = np.diff(bounds)
-            ranked = (table[(hashes >> U64(56 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U64(56)) | hashes
+            ranked = (table[(hashes >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U64(56)) | (hashes >> U64(8))
             order = np.lexsort((ranked, docs))
             ranked = ranked[order]
             need = np.where(n <= MAX_LIGHT, n, probe_prefix(n))
             blobs = [ranked[a : a + k].tobytes() for a, k in zip(bounds[:-1], need, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(_sums(mix(hashes), bounds).view(np.int64)), pa.array(_sums(mix(hashes + U64(77)), bounds).view(np.int64)), pa.array(blobs, pa.binary())], ["doc_id", "n_shingles", "sig1", "sig2", "first"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], ["doc_id", "n_shingles", "sig1", "sig2", "first"])
 
     return run
 
@@ -182,29 +200,28 @@ def _admissible(small: np.ndarray, large: np.ndarray, boundary: int) -> np.ndarr
     return (4 * n >= 3 * m) & ((m > boundary) | (m == 0)) & ((i < index_prefix(n)) | (n == 0)) & ((np.minimum(n - i, m - j) >= shared_size(n, m)) | (n == 0))
 
 
-PAIRS = "a long, b long, list long, place long, sure boolean"
+PAIRS = "a long, b long, list long, place long"
 
 
 def _scan_lists(boundary: int):
     """Streams lists sorted by (list, place, node): pairs of short ones; of long ones a hub for each member, and the entries themselves."""
 
-    def emit(a, b, sure):
+    def emit(a, b):
         low, high = np.minimum(a, b), np.maximum(a, b)
-        found = np.unique(np.stack([low, high, sure.astype(np.int64)], 1)[low != high], axis=0)
+        found = np.unique(np.stack([low, high], 1)[low != high], axis=0)
         none = pa.nulls(len(found), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), none, none, pa.array(found[:, 2] > 0)], ["a", "b", "list", "place", "sure"])
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), none, none], ["a", "b", "list", "place"])
 
     def lists(keys, nodes, places):
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate([first, [len(keys)]]))
         size = np.repeat(length, length)
-        a, b, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         # enumerated subsets: all members link with the first one, if that is of the smaller size
         head = np.repeat(first, length)
         sub = np.flatnonzero((places <= 0) & (places[head] < 0) & (size > 1))
         a.append(nodes[head[sub]])
         b.append(nodes[sub])
-        sure.append(np.ones(len(sub), bool))
         real = places > 0
         for step in range(1, min(LONG, int(length.max(initial=1)))):
             k = np.flatnonzero((size[:-step] <= LONG) & (size[:-step] > step) & (keys[:-step] == keys[step:]) & real[:-step])
@@ -213,8 +230,7 @@ def _scan_lists(boundary: int):
             k = k[_admissible(places[k], places[k + step], boundary)]
             a.append(nodes[k])
             b.append(nodes[k + step])
-            sure.append(np.zeros(len(k), bool))
-        yield emit(np.concatenate(a), np.concatenate(b), np.concatenate(sure))
+        yield emit(np.concatenate(a), np.concatenate(b))
 
     def long_list(key, nodes, places, hub):
         """One piece of a long list; hub: (size, node) carried over pieces."""
@@ -226,9 +242,8 @@ def _scan_lists(boundary: int):
             a.append(np.full(to - at, hub[1]))
             b.append(nodes[at:to])
             at = to
-        yield emit(np.concatenate(a), np.concatenate(b), np.zeros(len(n), bool))
-        none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), none, pa.array(np.full(len(n), key)), pa.array(places), pa.nulls(len(n), pa.bool_())], ["a", "b", "list", "place", "sure"])
+        yield emit(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(n), pa.int64()), pa.array(np.full(len(n), key)), pa.array(places)], ["a", "b", "list", "place"])
         return hub
 
     def run(batches):
@@ -312,31 +327,45 @@ def _block_pairs(boundary: int):
     return run
 
 
-def _slot_map(nodes: DataFrame) -> np.ndarray:
-    """Bitmap of FILTER_BITS hash slots that hold a node: of fixed size, whatever the number of nodes."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
-    words = nodes.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(xxhash64(node), {1 << FILTER_BITS}L) & 63))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+def _slot_map(nodes: DataFrame, slots: int) -> np.ndarray:
+    """Bitmap of hash slots that hold a node."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(slots))
+    words = nodes.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(xxhash64(node), {slots}L) & 63))")).alias("bits"))
+    out = np.zeros(slots >> 6, np.int64)
     for batch in words.toArrow().to_batches():
         out[batch.column("w").to_numpy()] = batch.column("bits").to_numpy()
     return out
 
 
-def _sets(slots):
-    """Sets of the documents whose slot is taken; those of others are left out early, some too many do no harm."""
+def _sets(taken):
+    """Sets of the documents whose slot is taken (all, without a bitmap); those of others are left out early, some too many do no harm."""
 
     def run(batches):
-        taken = np.unpackbits(np.frombuffer(slots.value, np.uint8), bitorder="little").astype(bool)
+        slots = None if taken is None else np.unpackbits(np.frombuffer(taken.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(taken[batch.column("slot").to_numpy()]))
+            if slots is not None:
+                batch = batch.filter(pa.array(slots[batch.column("slot").to_numpy()]))
             for part, words in batches_of([batch]):
-                docs, hashes = shingle_sets(words)
+                docs, hashes, _ = shingle_sets(words)
                 bounds = np.searchsorted(docs, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["node", "elements"])
 
     return run
 
 
+def _paired_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, elements) of the nodes, and of some others."""
+    spark = texts.sparkSession
+    known = texts.where("doc_id is not null")
+    n = nodes.agg(F.approx_count_distinct("node")).first()[0]
+    bits = max(16, (n * FILTER_SLOTS - 1).bit_length())
+    if bits > FILTER_BITS:
+        found = known.join(nodes.distinct().withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        return found.mapInArrow(_sets(None), "node long, elements binary")
+    taken = spark.sparkContext.broadcast(_slot_map(nodes, 1 << bits).tobytes())
+    return known.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))).mapInArrow(_sets(taken), "node long, elements binary")
+
+
 def _verify(batches):
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
@@ -393,10 +422,10 @@ def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links.
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
-    n_links counts verified links of the document's set that the join had to
-    establish; links inside a component that add nothing to it aren't expanded.
+    Links inside a component that add nothing to it aren't expanded, so their
+    number isn't known.
     """
     tables = Tables(spark, "ngram-join")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -415,15 +444,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     merged_sets = sets.groupBy("sig1", "sig2", "n_shingles").agg(F.min(F.struct("doc_id", "first")).alias("x")).select(F.col("x.doc_id").alias("node"), "n_shingles", "x.first")
     postings = merged_sets.mapInArrow(_postings(boundary), "list long, node long, place long")
     scanned = tables.keep(postings.repartition("list").sortWithinPartitions("list", "place", "node").mapInArrow(_scan_lists(boundary), PAIRS), "scanned")
-    pairs = scanned.where("list is null").groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    pairs = tables.keep(pairs, "pairs")
+    pairs = tables.keep(scanned.where("list is null").select("a", "b").distinct(), "pairs")
     entries = scanned.where("list is not null").select("list", F.col("a").alias("node"), "place")
     # sets of all entries of long lists too: pivots and blocks pair nodes that are in no pair so far
-    slots = spark.sparkContext.broadcast(_slot_map(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(entries.select("node"))).tobytes())
-    some = texts.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
-    sets = tables.keep(some.mapInArrow(_sets(slots), "node long, elements binary"), "sets")
-    links = pairs.where("sure").select("a", "b").union(_links(tables, sets, pairs.where("not sure").select("a", "b"), "first"))
-    tested, turn = pairs.select("a", "b"), 0
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(entries.select("node"))
+    sets = tables.keep(_paired_sets(texts, nodes), "sets")
+    links = _links(tables, sets, pairs, "first")
+    tested, turn = pairs, 0
     label = components(tables, links, "cc")
     while entries.limit(1).count():
         labelled = tables.keep(entries.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), f"labelled-{turn}")
@@ -439,15 +466,15 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
             more = _pivot_pairs(labelled, turn)
         more = tables.keep(more.join(tested, ["a", "b"], "left_anti"), f"more-{turn}")
         fresh = _links(tables, sets, more, f"more-{turn}")
-        links, tested, label = links.union(fresh), tested.union(more), _joined(tables, label, fresh, f"cc-{turn}")
+        tested, label = tested.union(more), _joined(tables, label, fresh, f"cc-{turn}")
         if last:
             break
         turn += 1
-    copies = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = copies.join(label, "node", "left").join(degree, "node", "left").select("sig1", "sig2", "n_shingles", F.coalesce("label", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    joined = rows.join(classes, ["sig1", "sig2", "n_shingles"], "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    copies = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("total"))
+    classes = copies.join(label, "node", "left").select("sig1", "sig2", "n_shingles", "total", F.coalesce("label", "node").alias("component_id"))
+    classes = tables.keep(classes, "classes")
+    joined = hot_join(rows.where("n_shingles > 0 and doc_id is not null"), classes, ["sig1", "sig2", "n_shingles"], "total", rows.count()).select("doc_id", "n_shingles", "component_id")
+    return joined.union(rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,8 +493,7 @@ WITH RECURSIVE w AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM hashed a JOIN hashed b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
 ), r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a
-), c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY 1
-), d AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
+), c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id)::BIGINT AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id
 """

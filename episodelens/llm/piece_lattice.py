@@ -15,8 +15,10 @@ Ties prefer the segmentation whose last piece is longer, then the one before,
 and so on; across words, changes to earlier words come last.  Characters
 outside the vocabulary are spelled as byte pieces, at UNK_PENALTY below the
 least score.  Null texts give null lists; an empty text has no pieces; a text
-holding U+2581 decodes with a space there.  The vocabulary is read from
-model_path and never trained.
+holding U+2581 decodes with a space there; damaged UTF-8 counts as U+FFFD and
+changes no other text's result.  Repeated rows are encoded each; an empty table
+gives no rows; other columns pass through, whatever their names.  The vocabulary
+is read from model_path and never trained.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents
-from ._text import U64, Runs, slices, string_buffers
+from ._shared import documents, sealed
+from ._text import U64, Runs, repaired, slices, string_buffers
 
 SPACE = 0x2581
 NBEST, UNK_PENALTY = 4, 10
@@ -206,8 +208,8 @@ class Lattice:
 
 
 def words_of(text: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of normalised texts, bounds of their words, and each document's first word."""
-    codes = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    """Code points of normalised texts (whole UTF-8, as repaired() gives it), bounds of their words, and each document's first word."""
+    codes = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
     heads = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
     first = heads[bounds]
     full = np.diff(first) > 0
@@ -319,9 +321,11 @@ def encode(docs: DataFrame, model_path: str | None = None, n: int = NBEST, keep_
 
     Columns of docs with these names are replaced.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path or default_model()))
     new = ["piece_ids", "n_pieces", "ids_md5", "score", "nbest", "decoded_ok"]
-    columns = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
+    stay = [i for i, c in enumerate(docs.columns) if c not in new and (keep_text or c != "text")]
+    rows, names = sealed(docs, ("text",))
+    columns, titles = [names[i] for i in stay], [docs.columns[i] for i in stay]
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path or default_model()))
     digest = lambda ids: hashlib.md5(ids.astype("<i4").tobytes()).hexdigest()
     best_type = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_md5", pa.string())]))
 
@@ -331,20 +335,21 @@ def encode(docs: DataFrame, model_path: str | None = None, n: int = NBEST, keep_
             data, offsets = string_buffers(batch.column("text"))
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
             for a, b in slices(offsets, SLICE_BYTES):
-                raw, bounds = data[offsets[a] : offsets[b]].tobytes(), offsets[a : b + 1] - offsets[a]
+                raw, bounds = repaired(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                raw = raw.tobytes()
                 found = encode_slice(v, raw, bounds, n)
                 ids = [x[0][1] if x else np.zeros(0, np.int64) for x in found]
                 texts = v.decode_all(np.concatenate(ids), np.cumsum([0, *map(len, ids)]))
-                ok = [t == raw[i:j].decode("utf-8", "replace").replace(chr(SPACE), " ").encode() for t, i, j in zip(texts, bounds[:-1], bounds[1:], strict=True)]
+                ok = [t == raw[i:j].decode().replace(chr(SPACE), " ").encode() for t, i, j in zip(texts, bounds[:-1], bounds[1:], strict=True)]
                 gone = null[a:b]
                 part = batch.slice(a, b - a)
                 lists = pa.array([None if g or not keep_ids else x.astype(np.int32) for x, g in zip(ids, gone, strict=True)], pa.list_(pa.int32()))
                 best = pa.array([None if g else [{"score": s / 1000, "n_pieces": len(x), "ids_md5": digest(x)} for s, x in f] for f, g in zip(found, gone, strict=True)], best_type)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists, pa.array([None if g else len(x) for x, g in zip(ids, gone, strict=True)], pa.int64()), pa.array([None if g else digest(x) for x, g in zip(ids, gone, strict=True)], pa.string()), pa.array([None if g else (f[0][0] / 1000 if f else 0.0) for f, g in zip(found, gone, strict=True)], pa.float64()), best, pa.array([None if g else o for o, g in zip(ok, gone, strict=True)], pa.bool_())], names=[*columns, *new])
 
-    full = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c in columns or c == "text")).withColumn("text", F.col("text").cast("string"))
-    kind = ", ".join(f"`{c}` {full.schema[c].dataType.simpleString()}" for c in columns)
-    return full.mapInArrow(run, f"{kind}, piece_ids array<int>, n_pieces long, ids_md5 string, score double, nbest array<struct<score: double, n_pieces: bigint, ids_md5: string>>, decoded_ok boolean")
+    full = rows.select(*dict.fromkeys([*columns, "text"])).withColumn("text", F.col("text").cast("string"))
+    kind = "".join(f"`{c}` {full.schema[c].dataType.simpleString()}, " for c in columns)
+    return full.mapInArrow(run, f"{kind}piece_ids array<int>, n_pieces long, ids_md5 string, score double, nbest array<struct<score: double, n_pieces: bigint, ids_md5: string>>, decoded_ok boolean").toDF(*titles, *new)
 
 
 def decode(pieces: DataFrame, model_path: str | None = None, ids: str = "piece_ids") -> DataFrame:

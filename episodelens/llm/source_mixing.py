@@ -11,10 +11,15 @@ others go on at their relative weights; there are as many phases as sources at
 most, and nothing is dropped.
 
 A document belongs to the block where it starts, in order of doc_id within the
-source.  Positions come from sums of key ranges, so one source's documents are
-numbered by many tasks.  Null sources are a source of their own, null or
-negative sizes count as 0, an empty text takes no volume; ties of doc_id are
-ordered by the text's hash; an empty table gives an empty plan.
+source.  Documents are dealt by ranges of (source, doc_id, ...) that Spark
+balances by sampling, so one source's documents, or those without a doc_id, are
+numbered by many tasks; sums of ranges place each range.  Null sources are a
+source of their own, null or negative sizes count as 0, an empty text takes no
+volume; ties of doc_id are ordered by the text's hash, then by size, then by
+place in the input (such rows are alike); null doc_ids come first; an empty table
+gives an empty plan; other columns are ignored.  The plan is held by the driver
+and broadcast: it grows with the square of the number of sources, not with the
+documents.
 """
 
 from __future__ import annotations
@@ -23,13 +28,14 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import Tables, documents
 
-#: Code points of a block; slots of a period (sources get one at least); rows of a numbering range; weight exponent.
-BLOCK_CHARS, PERIOD, RANGE_ROWS, EXPONENT = 100_000, 1000, 20_000, 0.5
+#: Code points of a block; slots of a period (sources get one at least); rows of a numbering range at most, on average; weight exponent.
+BLOCK_CHARS, PERIOD, RANGE_ROWS, EXPONENT = 100_000, 1000, 2_000_000, 0.5
 
 
 def integer_weights(weights: np.ndarray, period: int = PERIOD) -> np.ndarray:
@@ -83,33 +89,55 @@ def phases(blocks: np.ndarray, weights: np.ndarray, period: int = PERIOD) -> lis
 def slot_of(plan: list[dict], source: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slot and phase of each (source index, block index)."""
     slot, phase = np.full(len(source), -1, np.int64), np.full(len(source), -1, np.int64)
-    for n, p in enumerate(plan):
-        for i, s in enumerate(p["active"]):
-            k = block - p["done"][s]
-            at = np.flatnonzero((source == s) & (k >= 0) & (phase < 0))
-            where = k[at] // int(p["q"][i]) * p["size"] + p["slots"][i][k[at] % int(p["q"][i])]
-            at, where = at[where < p["length"]], where[where < p["length"]]
-            slot[at], phase[at] = p["start"] + where, n
+    order = np.argsort(source, kind="stable")
+    names, first = np.unique(source[order], return_index=True)
+    for s, rows in zip(names.tolist(), np.split(order, first[1:]) if len(order) else (), strict=True):
+        # a source takes part in phases from the first on, without a gap
+        begins = np.array([p["done"][s] for p in plan if s in p["active"]])
+        n = np.searchsorted(begins, block[rows], "right") - 1
+        for k in np.unique(n).tolist():
+            p, at = plan[k], rows[n == k]
+            i = int(np.searchsorted(p["active"], s))
+            inside = block[at] - p["done"][s]
+            slot[at] = p["start"] + inside // int(p["q"][i]) * p["size"] + p["slots"][i][inside % int(p["q"][i])]
+            phase[at] = k
     return slot, phase
 
 
+_PLACED = "doc_id long, tie long, source string, chars long, part int, inside long"
+
+
+def _running(batches):
+    """Rows of a range, sorted by source: inside is the text volume of the source's rows before, in this range."""
+    from pyspark import TaskContext
+
+    part, at, total = TaskContext.get().partitionId(), (False, None), 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = pa.compute.fill_null(batch.column("source").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        chars = batch.column("chars").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        before = np.cumsum(chars) - chars
+        inside = before - np.repeat(before[first], np.diff(np.append(first, len(code))))
+        if at == (True, batch.column("source")[0].as_py()):
+            inside[: first[1] if len(first) > 1 else len(code)] += total
+        at, total = (True, batch.column("source")[-1].as_py()), int(inside[-1] + chars[-1])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tie", "source", "chars")), pa.array(np.full(len(code), part, np.int32)), pa.array(inside)], ["doc_id", "tie", "source", "chars", "part", "inside"])
+
+
 def source_positions(docs: DataFrame, tables: Tables, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(doc_id, tie, source, chars, before): before is the text volume of the same source's earlier documents."""
     chars = F.greatest(F.coalesce(F.col("n_chars").cast("long"), F.lit(0)), F.lit(0)).alias("chars")
     tie = (F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")).alias("tie")
     rows = tables.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie, F.col("source").cast("string").alias("source"), chars), "rows")
-    n = rows.count()
-    steps = max(1, -(-n // range_rows))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    bounds = sorted(set(rows.select(F.percentile_approx(key, [i / steps for i in range(1, steps)], 10_000)).first()[0] or [])) if steps > 1 else []
-    part = F.lit(0)
-    if bounds:
-        part = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda a, b: a + (key > b).cast("int")) if len(bounds) < 64 else F.width_bucket(key.cast("double"), F.lit(float(bounds[0])), F.lit(float(bounds[-1]) + 1), F.lit(len(bounds))).cast("int")
-    rows = rows.withColumn("part", part)
-    total = rows.groupBy("source", "part").agg(F.sum("chars").alias("sum"))
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // range_rows))
+    order = ("source", "doc_id", "tie", "chars", "at")
+    dealt = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop("at")
+    rows = tables.keep(dealt.mapInArrow(_running, _PLACED), "ranges")
+    total = rows.groupBy("source", "part").agg(F.sum("chars").alias("sum"))  # as many rows as ranges and sources together at most
     before = total.withColumn("offset", F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("s"), F.col("part").alias("p"), "offset")
-    inside = F.coalesce(F.sum("chars").over(Window.partitionBy("source", "part").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("inside", inside).join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    placed = rows.join(tables.keep(before, "offsets"), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     return placed.select("doc_id", "tie", "source", "chars", (F.col("offset") + F.col("inside")).alias("before"))
 
 

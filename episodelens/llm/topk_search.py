@@ -1,20 +1,24 @@
 """Exact top-k search by tiled matrix products.
 
-Vectors become integers, floor(64 * x).  Queries form tiles of bounded size;
-each is broadcast and multiplied with shards of the candidates, a partial
-selection keeps the k best of each tile and shard, and the lists of all shards
-are merged in a tree.  A stated set of queries meets all rows in blocks; the
-number of rounds grows with the queries, memory doesn't.
+Vectors become integers, floor(64 * x).  Queries form tiles and candidates form
+shards, both of bounded size; each tile meets each shard in one task, which
+multiplies them.  A partial selection keeps the k best of each tile and shard,
+and the lists of all shards are merged in a tree.  A stated set of queries meets
+all rows in blocks: nothing passes through the driver but two counts, and memory
+grows with neither side.
 
 Products are exact: float64 while no sum can reach 2**53, Python integers
 beyond; a score outside 64 bits is an error.  Vectors that are null, hold a null or a non-finite component, or have
 another length than the query take no part; so do null ids.  Of rows that
 repeat an id, each is a candidate and the one with the smallest vector is the
-query; a query never finds rows of its own id.
+query; a query never finds rows of its own id.  An empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 from ._shared import Tables, documents
 
 K, STEP = 20, 20
-#: Bytes of a broadcast query tile; candidate rows multiplied at once; lists merged by a task of the tree.
-TILE_BYTES, SHARD_ROWS, FAN_IN = 32 << 20, 4096, 16
+#: Bytes of a tile of queries and of a shard of candidates; candidate rows multiplied at once; lists merged by a task of the tree.
+TILE_BYTES, SHARD_BYTES, SHARD_ROWS, FAN_IN = 8 << 20, 32 << 20, 4096, 16
 FOUND = "query_id long, vec_id long, score decimal(38,0), part int"
 
 
@@ -49,75 +53,70 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Partial selection: (query row, id, score) of each row's k largest scores, ties to the smaller id; rows of the query's own id take no place.  Columns follow ascending ids."""
-    rows, cols, kth = [], [], None
-    if scores.dtype != object:
-        others, at = scores.astype(float), max(scores.shape[1] - k, 0)
-        for i, (a, b) in enumerate(zip(np.searchsorted(ids, own), np.searchsorted(ids, own, "right"), strict=True)):
-            others[i, a:b] = -np.inf
-        kth = np.partition(others, at, axis=1)[:, at]
-    for i in range(len(scores)):
-        near = np.flatnonzero(scores[i] >= kth[i]) if kth is not None else np.arange(scores.shape[1])
-        near = near[ids[near] != own[i]]
-        order = np.array(sorted(near, key=lambda j: (-scores[i, j], j)), int)[:k] if len(near) > 4 * k or kth is None else near[np.lexsort((near, -scores[i, near]))][:k]
-        rows.append(np.full(len(order), i))
-        cols.append(order)
-    r, c = np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(cols) if cols else np.zeros(0, int)
+    others = scores.astype(float if scores.dtype != object else object)
+    for i, (a, b) in enumerate(zip(np.searchsorted(ids, own), np.searchsorted(ids, own, "right"), strict=True)):
+        others[i, a:b] = -np.inf
+    if scores.dtype != object and scores.shape[1] > k:
+        near = others >= np.partition(others, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    else:
+        near = np.ones(scores.shape, bool)
+    r, c = np.nonzero(near & (ids[None] != own[:, None]))
+    order = _ordered(scores[r, c], r, ids=c)
+    r, c = r[order], c[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(own)))[r] < k
+    r, c = r[keep], c[keep]
     return r, ids[c], scores[r, c]
 
 
-def _search(tile, k: int):
-    def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        queries = tile.value  # {dimension: (ids, matrix)}
-        held: dict[int, list] = {}
-
-        def flush():
-            for d, parts in held.items():
-                if d not in queries or not parts:
-                    continue
-                ids, matrix = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                order = np.argsort(ids, kind="stable")
-                ids, matrix = ids[order], matrix[order]
-                q_ids, q = queries[d]
-                bound = float(np.abs(q).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * max(d, 1)
-                for at in range(0, len(q_ids), 512):
-                    block = q[at : at + 512]
-                    scores = (block @ matrix.T).astype(np.int64) if bound < 2**53 else np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in matrix] for u in block], object)
-                    found.setdefault(d, {}).setdefault(at, []).append(best(scores, ids, q_ids[at : at + 512], k))
-                    merge(d, at, q_ids[at : at + 512])
-            held.clear()
-
-        def merge(d, at, q_ids):
-            lists = found[d][at]
-            if len(lists) < 2:
-                return
-            r, i, s = (np.concatenate([x[n] for x in lists]) for n in range(3))
-            order = np.lexsort((i, -s.astype(float) if s.dtype != object else np.array([-float(v) for v in s]), r)) if s.dtype != object else np.array(sorted(range(len(r)), key=lambda j: (r[j], -s[j], i[j])), int)
-            r, i, s = r[order], i[order], s[order]
-            first = np.searchsorted(r, np.arange(len(q_ids)))
-            keep = np.arange(len(r)) - first[r] < k
-            found[d][at] = [(r[keep], i[keep], s[keep])]
-
-        found: dict[int, dict[int, list]] = {}
-        rows = 0
-        for batch in batches:
-            ids = batch.column("vec_id").to_numpy()
-            for at, matrix in _matrix(batch.column("x")):
-                for a in range(0, len(at), SHARD_ROWS):
-                    held.setdefault(matrix.shape[1], []).append((ids[at[a : a + SHARD_ROWS]], matrix[a : a + SHARD_ROWS]))
-                    rows += len(at[a : a + SHARD_ROWS])
-                    if rows >= SHARD_ROWS:
-                        flush()
-                        rows = 0
-        flush()
-        for d, tiles in found.items():
-            for at, lists in tiles.items():
-                for r, i, s in lists:
-                    from decimal import Decimal
-
-                    yield pa.RecordBatch.from_arrays([pa.array(queries[d][0][at + r]), pa.array(i), pa.array([Decimal(int(v)) for v in s], pa.decimal128(38, 0)), pa.array(np.full(len(r), part), pa.int32())], ["query_id", "vec_id", "score", "part"])
+def _ordered(scores: np.ndarray, *before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order by `before`, falling scores and rising ids; scores may be Python integers."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda j: (*(x[j] for x in before), -scores[j], ids[j])), int)
+    return np.lexsort((ids, -scores, *reversed(before)))
+
+
+def _vectors(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of each vector length, by ascending id."""
+    parts: dict[int, list] = {}
+    for batch in table.combine_chunks().to_batches():
+        ids = batch.column("vec_id").to_numpy()
+        for rows, matrix in _matrix(batch.column("x")):
+            parts.setdefault(matrix.shape[1], []).append((ids[rows], matrix))
+    out = {}
+    for d, found in parts.items():
+        ids, matrix = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.argsort(ids, kind="stable")
+        out[d] = ids[order], matrix[order]
+    return out
+
+
+def _search(k: int):
+    """The k best candidates of a shard for each query of a tile."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        queries, candidates = _vectors(left), _vectors(right)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for d, (q_ids, q) in queries.items():
+            if d not in candidates:
+                continue
+            ids, matrix = candidates[d]
+            exact = float(np.abs(q).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * max(d, 1) < 2**53
+            for at in range(0, len(q_ids), 512):
+                block, own = q[at : at + 512], q_ids[at : at + 512]
+                held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64 if exact else object)]
+                for a in range(0, len(ids), SHARD_ROWS):
+                    part = matrix[a : a + SHARD_ROWS]
+                    scores = (block @ part.T).astype(np.int64) if exact else np.array([[sum(int(x) * int(y) for x, y in zip(u, v, strict=True)) for v in part] for u in block], object)
+                    r, i, s = (np.concatenate(x) for x in zip(held, best(scores, ids[a : a + SHARD_ROWS], own, k), strict=True))
+                    order = _ordered(s, r, ids=i)
+                    r, i, s = r[order], i[order], s[order]
+                    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(own)))[r] < k
+                    held = [r[keep], i[keep], s[keep]]
+                for column, value in zip(out, (own[held[0]], held[1], held[2].astype(object)), strict=True):
+                    column.append(value)
+        ids, found, scores = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        scores = pa.array([Decimal(int(v)) for v in scores], pa.decimal128(38, 0))
+        return pa.table([pa.array(ids), pa.array(found), scores, pa.array(np.full(len(ids), key[1].as_py()), pa.int32())], ["query_id", "vec_id", "score", "part"])
 
     return run
 
@@ -134,25 +133,20 @@ def merge_tree(found: DataFrame, parts: int, k: int = K) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = K, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = K, tile_bytes: int = TILE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries and candidates as usable() gives them."""
-    spark = candidates.sparkSession
-    tables = Tables(spark, "topk")
+    tables = Tables(candidates.sparkSession, "topk")
     queries = tables.keep(queries.groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
-    size = queries.agg(F.sum(F.size("x") * 8 + 8)).first()[0] or 0
-    rounds = max(1, -(-size // tile_bytes))
-    found = None
-    for n in range(rounds):
-        tile = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == n).toArrow()  # tile_bytes on average
-        groups = {}
-        for batch in tile.combine_chunks().to_batches():
-            for rows, matrix in _matrix(batch.column("x")):
-                groups.setdefault(matrix.shape[1], []).append((batch.column("vec_id").to_numpy()[rows], matrix))
-        shared = spark.sparkContext.broadcast({d: (np.concatenate([g[0] for g in v]), np.concatenate([g[1] for g in v])) for d, v in groups.items()})
-        part = tables.keep(candidates.mapInArrow(_search(shared, k), FOUND), f"found-{n}")
-        found = part if found is None else found.union(part)
-    parts = (found.agg(F.max("part")).first()[0] or 0) + 1
-    return merge_tree(found, parts, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
+    # rows are dealt by their place, so that no id gathers its repeats in one shard
+    place = F.xxhash64(F.monotonically_increasing_id())
+    candidates = tables.keep(candidates.withColumn("place", place), "candidates")
+    parts = lambda df, limit: max(1, -(-(df.agg(F.sum(F.size("x").cast("long") * 8 + 8)).first()[0] or 0) // limit))
+    tiles, shards = parts(queries, tile_bytes), parts(candidates, shard_bytes)
+    left = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "x")
+    right = candidates.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.pmod("place", F.lit(shards)).cast("int").alias("shard"), "vec_id", "x")
+    grid = left.groupBy("tile", "shard").cogroup(right.groupBy("tile", "shard"))
+    found = tables.keep(grid.applyInArrow(_search(k), FOUND), "found")
+    return merge_tree(found, shards, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

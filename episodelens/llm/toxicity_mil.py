@@ -64,17 +64,18 @@ def _distinct(bucket: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _frequencies(batches):
-    """One row a task: bags, bags labelled 1, and of each bucket the bags that hold it and those labelled 1."""
-    n, good, seen, toxic = 0, 0, np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    """Of each bucket: the task's bags that hold it, and those labelled 1; bucket -1 counts all bags."""
+    n, good, seen, toxic = 0, 0, np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for part, words in batches_of(batches):
         bucket, sentence, doc, _ = bags(words)
         y = part.column("y").to_numpy() == 1
         once = np.unique(doc[sentence].astype(np.int64) << BITS | bucket) if len(doc) else np.zeros(0, np.int64)
         key, bag = once & ((1 << BITS) - 1), once >> BITS
-        seen += np.bincount(key, minlength=1 << BITS).astype(np.int32)
-        toxic += np.bincount(key[y[bag]], minlength=1 << BITS).astype(np.int32)
+        seen += np.bincount(key, minlength=1 << BITS)
+        toxic += np.bincount(key[y[bag]], minlength=1 << BITS)
         n, good = n + len(y), good + int(y.sum())
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([good], pa.int64()), pa.array([seen.tobytes()], pa.binary()), pa.array([toxic.tobytes()], pa.binary())], ["n", "good", "seen", "toxic"])
+    used = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(seen[used], n), pa.int64()), pa.array(np.append(toxic[used], good), pa.int64())], ["bucket", "seen", "toxic"])
 
 
 def telling_words(n: int, good: int, seen: np.ndarray, toxic: np.ndarray, least: int = 3, lift: float = 3.5) -> np.ndarray:
@@ -112,7 +113,7 @@ def bag_scores(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(doc, np.logaddexp(0, np.clip(z, -40, 40)), n))
 
 
-def fit(y: np.ndarray, sizes: np.ndarray, words: list[np.ndarray], sentences: list[np.ndarray], n_words: int, rounds: int = 400, rate: float = 0.5, l1: float = 2e-5) -> tuple[np.ndarray, float]:
+def fit(y: np.ndarray, sizes: np.ndarray, words: list[np.ndarray], sentences: list[np.ndarray], n_words: int, rounds: int = 400, rate: float = 0.5, l1: float = 5e-6) -> tuple[np.ndarray, float]:
     """Weights of the telling words, and the bias."""
     v, b, squares, b_square = np.zeros(n_words), -5.0, np.full(n_words, 1e-8), 1e-8
     if len(set(y.tolist())) < 2 or not n_words:
@@ -141,12 +142,12 @@ def fit(y: np.ndarray, sizes: np.ndarray, words: list[np.ndarray], sentences: li
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, locate: float = 0.5) -> DataFrame:
     """docs' doc_id with held_out, score, predicted and offending: sentences (byte span, score) of at least `locate`."""
     rows = labelled_sample(docs, labels, "toxic", remainder(3) != 1, sample).select("text", "y")
-    n, good, seen, toxic = 0, 0, np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-    for r in rows.mapInArrow(_frequencies, "n long, good long, seen binary, toxic binary").toLocalIterator():
-        n, good = n + r.n, good + r.good
-        seen += np.frombuffer(r.seen, np.int32)
-        toxic += np.frombuffer(r.toxic, np.int32)
-    used = telling_words(n, good, seen, toxic)
+    # executors add up; the driver gets a row for each bucket at most
+    counts = rows.mapInArrow(_frequencies, "bucket int, seen long, toxic long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).toArrow()
+    bucket, some, bad = (counts.column(c).to_numpy() for c in ("bucket", "seen", "toxic"))
+    seen, toxic = np.zeros((1 << BITS) + 1, np.int64), np.zeros((1 << BITS) + 1, np.int64)
+    seen[bucket], toxic[bucket] = some, bad  # bucket -1 is the last one
+    used = telling_words(int(seen[-1]), int(toxic[-1]), seen[:-1], toxic[:-1])
     got = rows.mapInArrow(_bag_rows(used), "y int, size int, words binary, sentences binary").toPandas()
     got = got.sort_values(["y", "size", "words", "sentences"], kind="stable")
     v, b = fit(got.y.to_numpy(), got["size"].to_numpy(), [np.frombuffer(x, np.int32) for x in got.words], [np.frombuffer(x, np.int32) for x in got.sentences], len(used))

@@ -14,7 +14,7 @@ Each archive is one capture run.  Its index entries are sorted locally by URL
 key, timestamp and page_id and cut at splitters; each key range then merges its
 slices of all runs with a loser tree, k ways, into globally ordered capture
 histories.  Ranges hold RANGE entries on average; a hot URL is split among
-ranges, for timestamp and page_id are part of the key.
+ranges, for timestamp, page_id and place in the archives are part of the key.
 
 Null html is an empty payload; null urls count as empty; a null page_id is kept,
 is never referred to, and revisits the response of its copies where they have
@@ -68,19 +68,30 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return gzip.compress("\r\n".join(header).encode() + _END + body + _END, 1, mtime=0)
 
 
+def members(data: bytes):
+    """(offset, content) of the gzip members of data; each is fed in small pieces, so that the work is linear."""
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        inflate, out, to, step = zlib.decompressobj(31), [], at, 1 << 12
+        while not inflate.eof:
+            if to >= len(data):
+                raise ValueError(f"cut-off record at offset {at}")
+            out.append(inflate.decompress(view[to : to + step]))
+            to, step = min(len(data), to + step), min(step * 2, 1 << 20)
+        yield at, b"".join(out)
+        at = to - len(inflate.unused_data)
+
+
 def parse(warc: bytes) -> list[tuple[int, dict[str, str], bytes]]:
     """(offset, headers, body) of the records of an archive."""
-    at, out = 0, []
-    while at < len(warc):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(warc[at:]) + member.flush()
+    out = []
+    for at, raw in members(warc):
         head, _, rest = raw.partition(_END)
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at offset {at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         out.append((at, fields, rest[: int(fields["content-length"])]))
-        at = len(warc) - len(member.unused_data)
     return out
 
 
@@ -214,7 +225,7 @@ def _cut(splitters):
     def run(batches):
         cuts = splitters.value
         for batch in batches:
-            where = [bisect_right(cuts, k[:3]) for k in map(merge_key, _entries(batch))]
+            where = [bisect_right(cuts, merge_key(e)) for e in _entries(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where, pa.int32())], [*batch.schema.names, "range"])
 
     return run
@@ -249,9 +260,8 @@ def capture_histories(archives: DataFrame, range_entries: int = RANGE) -> DataFr
     ranges = max(1, -(-n // range_entries))
     cuts: list[tuple] = []
     if ranges > 1:  # about PER_RANGE keys a range, by hash; they only balance the ranges
-        page = F.coalesce("page_id", F.lit(-1))
-        some = runs.where(F.pmod(F.xxhash64(page, "url_key", "captured"), F.lit(max(1, n // (ranges * PER_RANGE)))) == 0)
-        keys = sorted((r.url_key, r.captured, r.page) for r in some.select("url_key", "captured", page.alias("page")).collect())
+        some = runs.where(F.pmod(F.xxhash64("archive_id", "offset"), F.lit(max(1, n // (ranges * PER_RANGE)))) == 0)
+        keys = sorted(tuple(r) for r in some.select("url_key", "captured", F.coalesce("page_id", F.lit(-1)), "archive_id", "offset").collect())
         cuts = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if len(keys) >= ranges else keys
     cut = runs.mapInArrow(_cut(spark.sparkContext.broadcast(cuts)), f"{CAPTURE}, rank long, range int")
     return cut.repartition("range").sortWithinPartitions("range", "archive_id", "rank").mapInArrow(_merge, f"{CAPTURE}, range int, place long")

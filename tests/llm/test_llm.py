@@ -66,9 +66,11 @@ def brute_join(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("long", [48, 3])
-def test_join_is_exact(spark, monkeypatch, long):
+@pytest.mark.parametrize(("long", "bits"), [(48, 27), (3, 27), (48, 8)])
+def test_join_is_exact(spark, monkeypatch, long, bits):
+    """Long and short lists; sets found by a bitmap and, where that would be too large, by a join."""
     monkeypatch.setattr(ngram_join, "LONG", long)
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     rows = list(enumerate(corpus()))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(spark, docs(spark, rows)).collect()}
@@ -94,12 +96,12 @@ def test_join_of_many_near_copies(spark, monkeypatch):
 
 
 def scanned_pairs(sets, boundary, batch_rows=10_000):
-    """Pairs (a, b, sure) that the lists of sets give, streamed in batches of so many rows."""
+    """Pairs (a, b) that the lists of sets give, streamed in batches of so many rows."""
     blobs = [np.array(sorted(x), np.uint64).tobytes() for x in sets]
     rows = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(blobs, pa.binary())], ["node", "n_shingles", "first"])
     entries = pa.Table.from_batches(ngram_join._postings(boundary)([rows])).sort_by([("list", "ascending"), ("place", "ascending"), ("node", "ascending")])
     found = pa.Table.from_batches(ngram_join._scan_lists(boundary)(entries.combine_chunks().to_batches(batch_rows))).to_pylist()
-    return {(r["a"], r["b"], r["sure"]) for r in found if r["list"] is None}
+    return {(r["a"], r["b"]) for r in found if r["list"] is None}
 
 
 @pytest.mark.parametrize("boundary", range(1, 13))
@@ -110,9 +112,10 @@ def test_shared_subsets_are_links(boundary):
         for smaller in (False, True):
             sets = [set(range(1, n)) | {100 + i} for i in range(3)] + [set(range(1, n - 1)) | {200, 201}] + [set(range(1, n))] * smaller
             pairs = scanned_pairs(sets, boundary)
-            assert all(link(sets[a], sets[b]) for a, b, sure in pairs if sure)
+            if n <= boundary:  # pairs of shared subsets alone: all are links
+                assert all(link(sets[a], sets[b]) for a, b in pairs if max(len(sets[a]), len(sets[b])) <= boundary and 4 * max(len(sets[a]), len(sets[b])) < 3 * (boundary + 1))
             root = list(range(len(sets)))
-            for a, b, _ in pairs:
+            for a, b in pairs:
                 if link(sets[a], sets[b]):
                     low, high = sorted((root[a], root[b]))
                     root = [low if r == high else r for r in root]
@@ -124,7 +127,7 @@ def test_shared_subset_over_batches(batch_rows):
     """Lists of shared subsets longer than a batch, with and without a smaller set, keep their members together."""
     for sets in ([set(range(1, 9)) | {100 + i} for i in range(400)], [set(range(1, 9)), *(set(range(1, 9)) | {100 + i, 500 + i} for i in range(300))]):
         root = list(range(len(sets)))
-        for a, b, _ in scanned_pairs(sets, 12, batch_rows):
+        for a, b in scanned_pairs(sets, 12, batch_rows):
             low, high = sorted((root[a], root[b]))
             root = [low if r == high else r for r in root]
         assert set(root) == {0}
@@ -169,8 +172,9 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 32: 30}
 
 
-@pytest.mark.parametrize("group", [200_000, 1])
+@pytest.mark.parametrize("group", [200_000, 3, 1])
 def test_dedup_is_exact(spark, group):
+    """Groups as they are, and split up to prefixes of whole windows."""
     rows = [*enumerate(corpus(3)), (500, "q " + " ".join(f"k{i}" for i in range(36))), (501, "r " + " ".join(f"k{i}" for i in range(35))), (502, "same " * 3), (502, "same " * 40), (None, "n " * 36)]
     starts = collections.Counter()
     words = [(i, WORD.findall(t or "")) for i, t in rows]
@@ -336,13 +340,15 @@ def test_quality_rules(spark):
     df = docs(spark, rows)
     trusted = df.where("doc_id % 2 = 0").select("doc_id")
     table = quality_rules.learn(df, trusted)
-    bucket = lambda s: ((h := xxhash.xxh64_intdigest(s.encode(), seed=42)) - (h >> 63 << 64)) % quality_rules.BUCKETS
+    signed = lambda h: h - (h >> 63 << 64)
+    word = lambda w: xxhash.xxh64_intdigest(w.encode(), seed=42)
+    pair = lambda a, b: xxhash.xxh64_intdigest(word(b).to_bytes(8, "little"), seed=xxhash.xxh64_intdigest(word(a).to_bytes(8, "little"), seed=42))
+    grams = lambda w: [signed(h) % quality_rules.BUCKETS for h in [*map(word, w), *map(pair, w, w[1:])]]
     raw, good = collections.Counter(), collections.Counter()
     for i, t in enumerate(rows):
-        for w in WORD.findall(t or ""):
-            for b in (bucket(w), bucket(w[-2:])):
-                raw[b] += 1
-                good[b] += i % 2 == 0
+        for b in grams(WORD.findall(t or "")):
+            raw[b] += 1
+            good[b] += i % 2 == 0
     ratio = lambda c, b: np.log((c[b] + 1) / (sum(c.values()) + quality_rules.BUCKETS))
     want = [ratio(good, b) - ratio(raw, b) if raw[b] else 0.0 for b in range(quality_rules.BUCKETS)]
     assert table == pytest.approx(want)
@@ -351,7 +357,7 @@ def test_quality_rules(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
         assert r.base_failed == (base[0] < 20 or 100 * base[4] > 30 * base[0])
         w = WORD.findall(rows[r.doc_id] or "")
-        mean = sum(want[bucket(x)] + want[bucket(x[-2:])] for x in w) / max(2 * len(w), 1)
+        mean = sum(want[b] for b in grams(w)) / max(2 * len(w) - 1, 1)
         assert r.ratio == pytest.approx(mean, abs=1e-9) and r.kept == (not r.base_failed and r.ratio >= 0)
     assert quality_rules.judge(df.limit(0), table).count() == 0
 
