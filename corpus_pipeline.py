@@ -7,9 +7,9 @@ the columns of docs.
 language_id     drops documents without a letter or text, and those whose best
                 language has a posterior under REJECT_BELOW (none for that where
                 no language could be learned)
-ngram_join      keeps one document of each group of near copies: the one with
-                the smallest doc_id (one row of it, if rows repeat the doc_id);
-                rows with a null doc_id all stay
+ngram_join      keeps one row of each group of near copies: the one with the
+                smallest doc_id (null after all others, then the first row); rows
+                that repeat a doc_id are documents of their own
 substring_dedup removes words of passages that occur again; a text that loses
                 words becomes its kept words joined by one space, n_chars follows
 mix_sources     orders documents by their slot in the mix of sources: partitions
@@ -26,25 +26,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodelens.llm import language_id, ngram_join, piece_lattice, source_mixing, substring_dedup
-from episodelens.llm._shared import Tables, documents
+from episodelens.llm._shared import Tables, documents, sealed
 
 REJECT_BELOW = 0.3
 #: SQL can't express language ID or the piece lattice.
 ORACLE_SQL = None
 
 
-def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """docs with names that no operator uses, but for doc_id and text; and those names, in order."""
-    names = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
-    return docs.toDF(*names), names
-
-
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a column that ascends in the order of rows: of files by name, or of partitions where docs isn't read from files."""
+    """docs with a column that ascends in the order of rows: of files by name.  What isn't read from files is written first, for its order may change."""
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at")]
     try:
-        rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        rows = docs.select("*", *place)
     except AnalysisException:
-        return docs.withColumn(name, F.monotonically_increasing_id())
+        rows = Tables(docs.sparkSession, "numbered").keep(docs, "rows").select("*", *place)
     files = rows.groupBy("_file").agg((F.max("_at") + 1).alias("n")).orderBy("_file").collect()  # a row per file
     starts, at = [], 0
     for f in files:
@@ -56,23 +51,28 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of docs whose language is told: null, empty and letterless texts go, ties take the first language by name, rows that repeat a doc_id are judged each, an empty table stays empty; all columns stay, whatever their names."""
     known, table = language_id.train(docs)
     if not known:  # nothing was learned: no document is rejected for its language
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    rows, names = _renamed(docs)
+    rows, names = sealed(docs)
     kept = language_id.predict(rows, known, table).where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW))
     return kept.select(*names).toDF(*docs.columns)
 
 
 def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    heads = ngram_join.ngram_jaccard_join(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi")
-    kept = kept.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of docs for each group of near copies; empty and null texts are groups of their own, null doc_ids take part, an empty table stays empty; all columns stay, whatever their names."""
+    rows, names = sealed(docs)
+    rows = _numbered(rows, "_row")
+    groups = ngram_join.ngram_jaccard_join(spark, rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_own"), "component_id")
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("order"))
+    heads = groups.join(ids, F.col("_own") == F.col("_row")).groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(heads, "_row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, names = _renamed(docs)
+    """All rows of docs, without the words of repeated passages; null and short texts stay as they are, equal rows are texts of their own, an empty table stays empty; all columns stay, whatever their names."""
+    rows, names = sealed(docs)
     out = substring_dedup.substring_dedup(rows).withColumn("text", F.coalesce("kept_text", "text"))  # null unless a word went
     if "n_chars" in docs.columns:
         n = names[docs.columns.index("n_chars")]
@@ -81,12 +81,15 @@ def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def stage_mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows of docs in order of the mix; a null source is a source, null sizes count as 0, rows alike in doc_id and text take the first slot of theirs, an empty table stays empty; all columns stay, whatever their names."""
     plan = source_mixing.mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("slot").alias("_slot")).groupBy("_id", "_tie").agg(F.min("_slot").alias("_slot"))
-    placed = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")))
-    return placed.repartitionByRange("_slot", "doc_id").sortWithinPartitions("_slot", "doc_id").select(docs.columns)
+    rows, names = sealed(docs)
+    placed = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")))
+    return placed.repartitionByRange("_slot", "doc_id").sortWithinPartitions("_slot", "doc_id").select(*names).toDF(*docs.columns)
 
 
 def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows of docs: null texts give null lists, empty ones no pieces, damaged UTF-8 counts as U+FFFD, equal rows are encoded each, an empty table stays empty; columns of docs but text stay, those named as the new ones are replaced."""
     return piece_lattice.encode(_numbered(docs, "mix_position"), keep_text=False).drop("ids_md5")
 
 
