@@ -50,9 +50,9 @@ MAX_LIGHT = 12
 LONG = 48
 #: Entries of a block of a long list.
 BLOCK = 1024
-#: A bitmap of slots spares sets that are in no pair the way to disk: so many slots for each node, and up to 2**FILTER_BITS
-#: slots, so that it may be broadcast; of more nodes the sets are found by a join.
-FILTER_SLOTS, FILTER_BITS = 16, 27
+#: A bitmap of slots spares sets that are in no pair the way to disk: FILTER_SLOTS for each node, up to 2**FILTER_BITS in all,
+#: so that it may be broadcast; with fewer than FILTER_LEAST for each node the sets are found by a join.
+FILTER_SLOTS, FILTER_LEAST, FILTER_BITS = 256, 8, 27
 #: Long lists try so many pivots a turn, with a node's so many lists, and so many turns at most, before the remaining pairs of different components are compared.
 PIVOTS, LISTS, TURNS = 8, 4, 5
 
@@ -132,7 +132,8 @@ def _merge_sketch(batches):
             sums.setdefault(slot, np.zeros(len(new), np.int64))
             sums[slot] += new
     for slot, total in sums.items():
-        level = np.minimum(np.floor(np.log2(1 + np.maximum(total - int(np.median(total)), 0)) * 8), 255).astype(np.uint8)
+        over = total - int(np.median(total))
+        level = np.clip(np.where(over <= 0, 40 + over, 40 + np.floor(np.log2(1 + np.maximum(over, 0)) * 8)), 0, 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([float((total.astype(float) ** 2).sum())]), pa.array([float(total.sum())])], ["slot", "levels", "squares", "total"])
 
 
@@ -358,8 +359,8 @@ def _paired_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     known = texts.where("doc_id is not null")
     n = nodes.agg(F.approx_count_distinct("node")).first()[0]
-    bits = max(16, (n * FILTER_SLOTS - 1).bit_length())
-    if bits > FILTER_BITS:
+    bits = min(FILTER_BITS, max(16, (n * FILTER_SLOTS - 1).bit_length()))
+    if n * FILTER_LEAST > 1 << bits:
         found = known.join(nodes.distinct().withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         return found.mapInArrow(_sets(None), "node long, elements binary")
     taken = spark.sparkContext.broadcast(_slot_map(nodes, 1 << bits).tobytes())
@@ -379,8 +380,10 @@ def _verify(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _links(tables: Tables, sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Those of pairs (a, b) whose sets link."""
+def _links(tables: Tables, sets: DataFrame, pairs: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Those of pairs (a, b) whose sets link; few: most sets are in no pair and needn't be shuffled."""
+    if few:
+        sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
     # few rows are left of much read: a shuffle of them spares one small file for each task
@@ -465,7 +468,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
         else:
             more = _pivot_pairs(labelled, turn)
         more = tables.keep(more.join(tested, ["a", "b"], "left_anti"), f"more-{turn}")
-        fresh = _links(tables, sets, more, f"more-{turn}")
+        fresh = _links(tables, sets, more, f"more-{turn}", few=True)
         tested, label = tested.union(more), _joined(tables, label, fresh, f"cc-{turn}")
         if last:
             break
