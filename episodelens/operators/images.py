@@ -79,13 +79,20 @@ def compare(a: np.ndarray | None, b: np.ndarray | None, diff: int = DIFF, ratio:
 RESULT = "matched_ratio double, mae double, max_error int, consistent boolean, reason string"
 
 
+def row_pixels(row) -> np.ndarray | None:
+    """Pixels of a row (data, width, height, encoding, and step if it has one) of a pandas UDF; None where a field is null or they don't decode."""
+    number = lambda v: 0 if v is None or pd.isna(v) else int(v)
+    if not isinstance(row.data, (bytes, bytearray, memoryview)) or not isinstance(row.encoding, str):
+        return None
+    return pixels(bytes(row.data), number(row.width), number(row.height), row.encoding, number(getattr(row, "step", 0)))
+
+
 def compare_udf(diff: int = DIFF, ratio: float = RATIO, mae: float = MAE, fit: bool = False, sigma: float = 0.0):
     """UDF of two structs (data, width, height, encoding)."""
 
     @F.pandas_udf(RESULT)
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        decode = lambda r: pixels(r.data, int(r.width or 0), int(r.height or 0), r.encoding)
-        rows = [compare(decode(x), decode(y), diff, ratio, mae, fit, sigma) for x, y in zip(a.itertuples(), b.itertuples(), strict=True)]
+        rows = [compare(row_pixels(x), row_pixels(y), diff, ratio, mae, fit, sigma) for x, y in zip(a.itertuples(), b.itertuples(), strict=True)]
         return pd.DataFrame(rows, columns=["matched_ratio", "mae", "max_error", "consistent", "reason"]).astype({"max_error": "Int32"})
 
     return run

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rotation, text
-from ..operators import align, checks, images, reconcile
-from ..sources.tables import profile, table
+from ..operators import align, checks, flatten, image_audit, images, metrics, reconcile, vectors
+from ..sources.tables import image_integrity, profile, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,10 +147,10 @@ def pose_vector_long(t):
     return _long(t).withColumn("value", F.round("value", 6))
 
 
-@query(f"{_LONG} SELECT section, grp, label, count(*) AS n, count(*) FILTER (abs(value * 0.01) <= 0.0005) AS within FROM l GROUP BY ALL")
+@query(f"{_LONG} SELECT section, grp, label, count(*) AS n, count(*) FILTER (abs(value - (value + value * 0.01)) <= 0.0005) AS within FROM l GROUP BY ALL")
 def compare_vectors_tolerance(t):
     out = reconcile.vectors(_long(t), _long(t, lambda v: v + v * 0.01), ["vec_id", "section", "grp"])
-    return out.groupBy("section", "grp", "label").agg(F.count("*").alias("n"), F.count_if(F.col("expected").isNotNull() & (F.abs(F.col("expected") * 0.01) <= 5e-4)).alias("within"))
+    return out.groupBy("section", "grp", "label").agg(F.count("*").alias("n"), F.count_if("within").alias("within"))
 
 
 @query("""WITH p AS (SELECT o_custkey, o_orderkey, NS(o_orderdate) AS d, lag(NS(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders)
@@ -160,9 +160,13 @@ def monotonic_violations(t):
     return checks.increasing(rows, "o_custkey", "o_orderkey", "d").select("entity", "row_index", "actual")
 
 
-@query("SELECT conv_id::VARCHAR AS entity, turn AS row_index FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) WHERE turn <> k")
+@query("""WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events WHERE event_id % 13 <> 5),
+ g AS (SELECT *, k + CASE WHEN event_id % 11 = 3 THEN 2 ELSE 0 END AS i FROM f)
+SELECT user_id::VARCHAR AS entity, event_id AS row_index, k::VARCHAR AS expected, i::VARCHAR AS actual FROM g WHERE i <> k""")
 def index_continuity(t):
-    return checks.continuous(t("conversations").select("conv_id", "turn"), "conv_id", "turn", "turn").select("entity", "row_index")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = t("events").where("event_id % 13 <> 5").select("user_id", "event_id", (place + F.when(F.col("event_id") % 11 == 3, 2).otherwise(0)).alias("i"))
+    return checks.continuous(rows, "user_id", "event_id", "i").select("entity", "row_index", "expected", "actual")
 
 
 _PART = "SELECT user_id, event_id, value, value / max(value) OVER (PARTITION BY user_id) AS p FROM events"
@@ -203,8 +207,6 @@ def fixed_grid_check(t):
     return checks.fixed_grid(rows, "user_id", "event_id", "s", "o", "t0").select("check", "entity", "row_index")
 
 
-sql("expected_frame_count", "events", "SELECT user_id, CAST(floor((max(NS(ts)) - min(NS(ts))) / 1000000 * 30 / 1000) AS BIGINT) + 1 AS frames FROM {events} GROUP BY user_id", "SELECT user_id, (((max(NS(ts)) - min(NS(ts))) * 30) // 1000000000)::BIGINT + 1 AS frames FROM events GROUP BY user_id")
-QUERIES["expected_frame_count"] = lambda spark, folder: table(spark, folder, "events").groupBy("user_id").agg((F.max(align.ns("ts")) - F.min(align.ns("ts"))).alias("span")).select("user_id", F.expr("span * 30 div 1000000000 + 1").alias("frames"))
 
 
 @query("""SELECT doc_id, strpos(text, 'th') > 0 AND strpos(substr(text, strpos(text, 'th') + 2), 'er') > 0 AND strpos(substr(text, strpos(text, 'th') + 2 + strpos(substr(text, strpos(text, 'th') + 2), 'er') + 1), 'on') > 0 AS ordered FROM documents""")
@@ -212,9 +214,6 @@ def path_contains_in_order(t):
     return t("documents").select("doc_id", text.ordered_in(F.col("text"), F.array(F.lit("th"), F.lit("er"), F.lit("on"))).alias("ordered"))
 
 
-sql("annotation_summary", "events", "SELECT user_id, event_type, count(*) AS row_count, min(event_id) AS first_row, max(event_id) AS last_row, min(NS(ts)) AS first_ns, max_by(NS(ts), event_id) AS last_ns FROM {events} GROUP BY user_id, event_type")
-sql("level_counts_with_zero", "events", "SELECT l.level, count(e.event_id) AS n FROM (VALUES ('click'), ('error'), ('none')) AS l(level) LEFT JOIN {events} e ON e.event_type = l.level GROUP BY l.level")
-sql("conflicting_definitions", "part", "SELECT p_brand, count(DISTINCT p_type) AS definitions FROM {part} GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")
 
 
 @query("""WITH i AS (SELECT user_id, NS(ts) // 86400000000000 AS day, min(NS(ts)) AS start_ns, max(NS(ts)) AS end_ns FROM events GROUP BY 1, 2),
@@ -227,24 +226,6 @@ def episode_index_unique(t):
     return align.resolve_episode(episodes, wanted, ["user_id", "start_ns", "end_ns"])
 
 
-sql("interval_containment", "events", "SELECT s.event_id AS span_id, count(e.event_id) AS inside FROM (SELECT event_id, user_id, ts AS a, lead(ts, 3) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM {events}) s LEFT JOIN {events} e ON e.user_id = s.user_id AND e.ts >= s.a AND e.ts <= s.b WHERE s.event_id % 10 = 0 GROUP BY s.event_id")
-sql("status_dashboard", "orders", "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') AS created, count(*) FILTER (WHERE o_orderstatus = 'P') AS annotated, count(*) FILTER (WHERE o_orderstatus = 'F') AS converted FROM {orders}")
-sql("max_then_sum_duration", "lineitem", "SELECT l_orderkey, CAST(sum(m) AS BIGINT) AS total, count(*) AS files FROM (SELECT l_orderkey, l_suppkey, max(CAST(l_quantity AS BIGINT)) AS m FROM {lineitem} GROUP BY l_orderkey, l_suppkey) x GROUP BY l_orderkey")
-sql("duration_sum_decimal", "events", "SELECT user_id, CAST(round(CAST(sum(d) AS DECIMAL(38,0)) / 1000000000, 2) AS DOUBLE) AS seconds FROM (SELECT user_id, NS(ts) - lag(NS(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM {events}) x GROUP BY user_id")
-QUERIES["duration_sum_decimal"] = lambda spark, folder: table(spark, folder, "events").select("user_id", (align.ns("ts") - F.lag(align.ns("ts")).over(Window.partitionBy("user_id").orderBy("event_id"))).alias("d")).groupBy("user_id").agg(F.sum("d").alias("d")).select("user_id", F.round((F.col("d").cast("decimal(28,0)") * F.lit("0.000000001").cast("decimal(9,9)")), 2).cast("double").alias("seconds"))
-ORACLES["duration_sum_decimal"] = "SELECT user_id, (CASE WHEN sum(d) IS NULL THEN NULL ELSE ((sum(d)::HUGEINT + 5000000) // 10000000)::DOUBLE / 100 END) AS seconds FROM (SELECT user_id, epoch_us(ts) * 1000 - lag(epoch_us(ts) * 1000) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) x GROUP BY user_id"
-sql("count_semi_join", "lineitem orders", "SELECT l_returnflag, count(*) AS episodes FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F') GROUP BY l_returnflag")
-sql("latest_per_key_sum", "orders lineitem", "SELECT o_custkey, count(*) AS episodes, CAST(sum(m) AS BIGINT) AS total FROM (SELECT j.o_custkey, l.l_partkey, max(CAST(l.l_quantity AS BIGINT)) AS m FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC) AS r FROM {orders}) j JOIN {lineitem} l ON l.l_orderkey = j.o_orderkey WHERE j.r = 1 GROUP BY j.o_custkey, l.l_partkey) x GROUP BY o_custkey")
-sql("workforce_conversion", "customer orders lineitem", "SELECT c.c_custkey, count(j.o_orderkey) AS jobs, coalesce(sum(d.n), 0) AS episodes, CAST(coalesce(sum(d.q), 0) AS BIGINT) AS duration FROM {customer} c LEFT JOIN (SELECT o_custkey, o_orderkey FROM {orders} WHERE o_orderstatus <> 'P') j ON j.o_custkey = c.c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS q FROM {lineitem} GROUP BY l_orderkey) d ON d.l_orderkey = j.o_orderkey GROUP BY c.c_custkey")
-ORACLES["workforce_conversion"] = ORACLES["workforce_conversion"].replace("coalesce(sum(d.n), 0) AS", "CAST(coalesce(sum(d.n), 0) AS BIGINT) AS")
-sql("completion_rate", "orders", "SELECT user_id, count(*) AS tasks, CAST(sum(CASE WHEN done THEN 1 ELSE 0 END) AS BIGINT) AS completed FROM (SELECT user_id, task, bool_or(done) AS done FROM (SELECT o_custkey AS user_id, o_orderkey AS task, o_orderstatus = 'F' AS done FROM {orders} UNION ALL SELECT o_custkey % 97, o_orderkey, o_orderstatus <> 'O' FROM {orders} UNION ALL SELECT o_orderkey % 31, o_orderkey, o_orderstatus = 'P' FROM {orders} UNION ALL SELECT 7, o_orderkey, o_orderstatus = 'O' FROM {orders}) u GROUP BY user_id, task) x GROUP BY user_id")
-_completion = QUERIES["completion_rate"]
-QUERIES["completion_rate"] = lambda spark, folder: _completion(spark, folder).withColumn("percent", F.expr("(completed * 200 + tasks) div (tasks * 2)"))
-ORACLES["completion_rate"] = f"SELECT *, ((completed * 200 + tasks) // (tasks * 2))::BIGINT AS percent FROM ({ORACLES['completion_rate']})"
-sql("role_headcount", "events", "SELECT count(*) AS people, count(*) FILTER (WHERE collector OR admin) AS collect, count(*) FILTER (WHERE annotator OR admin) AS annotate, count(*) FILTER (WHERE qc OR admin) AS qc FROM (SELECT user_id, bool_or(event_type = 'view') AS collector, bool_or(event_type = 'purchase' AND value > 50) AS annotator, bool_or(event_type = 'error' AND value > 60) AS qc, bool_or(event_type = 'signup' AND value > 90) AS admin FROM {events} GROUP BY user_id) x")
-sql("per_person_average", "orders", "SELECT o_orderpriority, count(*) AS total, count(DISTINCT o_custkey) AS people, CAST(floor((count(*) * 200 + count(DISTINCT o_custkey)) / (count(DISTINCT o_custkey) * 2)) AS BIGINT) AS hundredths FROM {orders} GROUP BY o_orderpriority")
-sql("column_total_vs_baseline", "orders", "SELECT sum(n) AS people_total, max(b) AS baseline, sum(n) - max(b) AS gap FROM (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) x CROSS JOIN (SELECT count(*) AS b FROM {orders}) y")
-ORACLES["column_total_vs_baseline"] = "SELECT sum(n)::BIGINT AS people_total, max(b) AS baseline, (sum(n) - max(b))::BIGINT AS gap FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) x CROSS JOIN (SELECT count(*) AS b FROM orders) y"
 
 
 @query("""WITH e AS (SELECT doc_id, CASE WHEN n_chars > 200 THEN 1 ELSE 0 END AS q FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id)
@@ -255,7 +236,6 @@ def reconcile_full_outer(t):
     return reconcile.full_outer(expected, actual, ["doc_id"], ["q"]).select("doc_id", "state")
 
 
-sql("anti_semi", "documents labels", "SELECT doc_id, 'without' AS state FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id) UNION ALL SELECT doc_id, 'with' FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
 
 
 @query("""WITH r AS (SELECT conv_id, turn, 'i' || turn AS id, role || turn AS name, turn * 10 AS s, turn * 10 + 9 AS e FROM conversations), a AS (SELECT conv_id, id, name, s + CASE WHEN turn % 3 = 1 THEN 1 ELSE 0 END AS s, e FROM r WHERE turn % 5 <> 4)
@@ -263,7 +243,7 @@ SELECT r.conv_id, r.turn::INTEGER AS level, r.id AS expected_id, a.id AS actual_
 def expected_actual_match(t):
     rows = t("conversations").select("conv_id", F.col("turn").cast("int").alias("level"), F.col("turn").alias("ord"), F.concat(F.lit("i"), "turn").alias("id"), F.concat("role", "turn").alias("name"), (F.col("turn") * 10).alias("start_ns"), (F.col("turn") * 10 + 9).alias("end_ns"))
     actual = rows.where("ord % 5 <> 4").withColumn("start_ns", F.col("start_ns") + F.when(F.col("ord") % 3 == 1, 1).otherwise(0))
-    return reconcile.match_annotations(rows, actual, "conv_id")
+    return reconcile.match_annotations(rows, actual, "conv_id").select("conv_id", "level", "expected_id", "actual_id", "matched", "differences")
 
 
 @query("SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part")
@@ -271,7 +251,6 @@ def distinct_unnest(t):
     return t("part").select(F.explode(F.array_distinct(F.split("p_name", " "))).alias("token")).distinct()
 
 
-sql("set_difference", "events", "SELECT 'only_click' AS side, user_id FROM (SELECT user_id FROM {events} WHERE event_type = 'click' AND value > 80 EXCEPT SELECT user_id FROM {events} WHERE event_type = 'view' AND value > 80) a UNION ALL SELECT 'only_view', user_id FROM (SELECT user_id FROM {events} WHERE event_type = 'view' AND value > 80 EXCEPT SELECT user_id FROM {events} WHERE event_type = 'click' AND value > 80) b")
 
 
 @query("SELECT event_id, printf('%d.%09d', (NS(ts)) // 1000000000, (NS(ts)) % 1000000000) AS seconds, concat((value::BIGINT) // 60, 'm', (value::BIGINT) % 60, 's') AS elapsed FROM (SELECT event_id, ts, floor(value) AS value FROM events)")
@@ -326,8 +305,6 @@ def schema_profile(t):
 
 @query("SELECT 'html' AS \"column\", count(*) AS rows, count(*) - count(html) AS nulls, count(*) = count(html) AND count(*) > 0 AS complete FROM pages")
 def null_integrity(t):
-    from ..sources.tables import image_integrity
-
     return image_integrity(t("pages").select(F.struct(F.col("html").cast("binary").alias("bytes"), F.col("url").alias("path")).alias("html")))
 
 
@@ -349,3 +326,303 @@ def image_compare_metrics(t):
 def topic_time_scan(t):
     rows = t("events").select("event_id", "event_type", align.ns("ts").alias("log_ns"))
     return align.scan_window(rows, "event_type", ["error", "view"], "log_ns", 1704499200000000000, 1704931200000000000)
+
+
+@query("SELECT user_id, ((max(NS(ts)) - min(NS(ts))) * 30 // 1000000000 + 1)::BIGINT AS frames FROM events GROUP BY user_id")
+def expected_frame_count(t):
+    spans = t("events").groupBy("user_id").agg((F.max(align.ns("ts")) - F.min(align.ns("ts"))).alias("span"))
+    return spans.select("user_id", checks.frame_count(F.col("span")).alias("frames"))
+
+
+@query("SELECT user_id, event_type, count(*) AS row_count, min(event_id) AS first_row, max(event_id) AS last_row, arg_min(NS(ts), event_id) AS first_timestamp, arg_max(NS(ts), event_id) AS last_timestamp, min(value) AS first_playback, max(value) AS last_playback FROM events GROUP BY user_id, event_type")
+def annotation_summary(t):
+    return checks.summarize(_events(t), ["user_id", "event_type"], "event_id", "at", "value")
+
+
+@query("SELECT l.event_type, count(e.event_id) AS n FROM (VALUES ('click'), ('error'), ('none')) AS l(event_type) LEFT JOIN events e USING (event_type) GROUP BY ALL")
+def level_counts_with_zero(t):
+    return metrics.level_counts(t("events"), "event_type", ["click", "error", "none"])
+
+
+@query("SELECT p_brand, count(DISTINCT p_type) AS definitions FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")
+def conflicting_definitions(t):
+    return metrics.conflicts(t("part"), ["p_brand"], ["p_type"])
+
+
+@query("""WITH s AS (SELECT event_id, user_id, NS(ts) AS a, lead(NS(ts), 3) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
+SELECT s.event_id AS span_id, count(e.event_id) AS inside FROM s LEFT JOIN events e ON e.user_id = s.user_id AND NS(e.ts) BETWEEN s.a AND s.b WHERE s.event_id % 10 = 0 GROUP BY s.event_id""")
+def interval_containment(t):
+    e = _events(t)
+    spans = e.select("event_id", "user_id", F.col("at").alias("a"), F.lead("at", 3).over(Window.partitionBy("user_id").orderBy("event_id")).alias("b")).where("event_id % 10 = 0")
+    return align.contained(spans, e.select("user_id", "at"), ["user_id"], "a", "b", "at").select(F.col("event_id").alias("span_id"), "inside")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS created, count(*) FILTER (o_orderstatus = 'P') AS annotated, count(*) FILTER (o_orderstatus = 'F') AS converted FROM orders")
+def status_dashboard(t):
+    return metrics.status_counts(t("orders"), "o_orderstatus", {"created": "O", "annotated": "P", "converted": "F"})
+
+
+@query("SELECT l_orderkey, sum(m)::BIGINT AS total, count(*) AS files FROM (SELECT l_orderkey, l_suppkey, max(l_quantity::BIGINT) AS m FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
+def max_then_sum_duration(t):
+    rows = t("lineitem").select("l_orderkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    return metrics.furthest_then_sum(rows, "l_orderkey", "l_suppkey", "q").withColumnRenamed("parts", "files")
+
+
+@query("""SELECT user_id, CASE WHEN sum(d) IS NOT NULL THEN (CASE WHEN sum(d) < 0 THEN -1 ELSE 1 END) * ((abs(sum(d))::HUGEINT + 5000000) // 10000000)::DOUBLE / 100 END AS seconds
+FROM (SELECT user_id, NS(ts) - lag(NS(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) GROUP BY user_id""")
+def duration_sum_decimal(t):
+    spans = _events(t).select("user_id", F.lag("at").over(Window.partitionBy("user_id").orderBy("event_id")).alias("a"), F.col("at").alias("b"))
+    return metrics.durations(spans, ["user_id"], "a", "b").withColumn("seconds", F.col("seconds").cast("double"))
+
+
+@query("SELECT l_returnflag, count(*) AS episodes FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_returnflag")
+def count_semi_join(t):
+    done = metrics.of_status(t("orders"), "o_orderstatus", ("F",)).select(F.col("o_orderkey").alias("l_orderkey"))
+    return metrics.counted(t("lineitem"), done, ["l_orderkey"], "l_returnflag")
+
+
+@query("""WITH j AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey), m AS (SELECT o_custkey, l_partkey, max(l_quantity::BIGINT) AS m FROM j JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT o_custkey, count(*) AS episodes, sum(m)::BIGINT AS total FROM m GROUP BY o_custkey""")
+def latest_per_key_sum(t):
+    outputs = t("lineitem").withColumn("q", F.col("l_quantity").cast("long"))
+    return metrics.latest_job_sums(t("orders"), outputs, "o_custkey", "o_orderkey", "o_orderdate", "l_orderkey", "l_partkey", "q")
+
+
+@query("""WITH d AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity::BIGINT) AS q FROM lineitem GROUP BY ALL), j AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+SELECT c_custkey, count(o_orderkey) AS jobs, coalesce(sum(n), 0)::BIGINT AS episodes, coalesce(sum(q), 0)::BIGINT AS duration FROM customer LEFT JOIN j ON o_custkey = c_custkey LEFT JOIN d ON l_orderkey = o_orderkey GROUP BY c_custkey""")
+def workforce_conversion(t):
+    outputs = t("lineitem").withColumn("q", F.col("l_quantity").cast("long"))
+    return metrics.per_creator(t("customer"), t("orders").where("o_orderstatus <> 'P'"), outputs, "c_custkey", "o_custkey", "o_orderkey", "l_orderkey", "q")
+
+
+@query("""WITH u AS (SELECT o_custkey AS user_id, o_orderkey AS task, o_orderstatus = 'F' AS done FROM orders UNION ALL SELECT o_custkey % 97, o_orderkey, o_orderstatus <> 'O' FROM orders
+ UNION ALL SELECT o_orderkey % 31, o_orderkey, o_orderstatus = 'P' FROM orders UNION ALL SELECT 7, o_orderkey, o_orderstatus = 'O' FROM orders), x AS (SELECT user_id, task, max(done::INT) AS done FROM u GROUP BY ALL)
+SELECT user_id, count(*) AS tasks, sum(done)::BIGINT AS completed, ((sum(done) * 200 + count(*)) // (count(*) * 2))::BIGINT AS percent FROM x GROUP BY user_id""")
+def completion_rate(t):
+    one = lambda user, done: t("orders").select(user.cast("long").alias("user_id"), F.col("o_orderkey").alias("task"), F.expr(done).alias("done"))
+    roles = [one(F.col("o_custkey"), "o_orderstatus = 'F'"), one(F.col("o_custkey") % 97, "o_orderstatus <> 'O'"), one(F.col("o_orderkey") % 31, "o_orderstatus = 'P'"), one(F.lit(7), "o_orderstatus = 'O'")]
+    return metrics.completion(roles).withColumn("percent", metrics.percent(F.col("completed"), F.col("tasks")))
+
+
+@query("""WITH r AS (SELECT user_id, bool_or(event_type = 'view') AS a, bool_or(event_type = 'purchase' AND value > 50) AS b, bool_or(event_type = 'error' AND value > 60) AS c, bool_or(event_type = 'signup' AND value > 90) AS d FROM events GROUP BY user_id)
+SELECT count(*) AS people, count(*) FILTER (a OR d) AS collect, count(*) FILTER (b OR d) AS annotate, count(*) FILTER (c OR d) AS qc FROM r""")
+def role_headcount(t):
+    role = F.expr("CASE WHEN event_type = 'view' THEN 'collect' WHEN event_type = 'purchase' AND value > 50 THEN 'annotate' WHEN event_type = 'error' AND value > 60 THEN 'qc' WHEN event_type = 'signup' AND value > 90 THEN 'admin' END")
+    people = t("events").groupBy("user_id").agg(F.collect_list(role).alias("roles"))
+    return metrics.headcount(people, "roles", ["collect", "annotate", "qc"])
+
+
+@query("SELECT o_orderpriority, count(*) AS total, count(DISTINCT o_custkey) AS people, ((count(*) * 200 + count(DISTINCT o_custkey)) // (count(DISTINCT o_custkey) * 2))::BIGINT AS hundredths FROM orders GROUP BY o_orderpriority")
+def per_person_average(t):
+    return metrics.per_person(t("orders"), "o_orderpriority", "o_custkey")
+
+
+@query("SELECT (SELECT sum(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey))::BIGINT AS people_total, (SELECT count(*) FROM orders) AS baseline, 0::BIGINT AS gap")
+def column_total_vs_baseline(t):
+    rows, base = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")), t("orders").agg(F.count("*").alias("b"))
+    return metrics.total_gap(rows, "n", base, "b").withColumnRenamed("total", "people_total")
+
+
+@query("SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) THEN 'with' ELSE 'without' END AS state FROM documents d")
+def anti_semi(t):
+    return reconcile.presence(t("documents"), t("labels"), ["doc_id"])
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 80), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND value > 80)
+SELECT 'only_click' AS side, user_id FROM a ANTI JOIN b USING (user_id) UNION ALL SELECT 'only_view', user_id FROM b ANTI JOIN a USING (user_id)""")
+def set_difference(t):
+    some = lambda kind: t("events").where((F.col("event_type") == kind) & (F.col("value") > 80))
+    return reconcile.set_differences(some("click"), some("view"), "user_id", ("only_click", "only_view"))
+
+
+_FRAME_ROWS = """WITH e AS (SELECT user_id AS file, event_id, event_type, NS(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+
+
+def _frames(t) -> DataFrame:
+    """Annotated frames: a file for each user, a row for each event, with some faults."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = t("events").select("user_id", "event_id", "event_type", (F.row_number().over(order) - 1).cast("long").alias("k"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
+    item = lambda level, ident, name: F.struct(F.lit(level).alias("level"), F.lit(f"l{level}").alias("layer_id"), ident.alias("id"), name.alias("name"), F.lit("0").alias("start_timestamp_ns"), F.lit(10**15).alias("end_timestamp_ns"))
+    task, leaf = F.concat(F.lit("u"), "user_id"), F.col("event_type")
+    json = F.when(F.col("event_id") % 29 == 0, "oops").otherwise(F.to_json(F.array(item(1, task, F.lit("task")), item(2, leaf, leaf))))
+    bad = lambda m: F.col("event_id") % m == 0
+    return rows.select(
+        F.col("user_id").alias("file"),
+        F.col("k").alias("row"),
+        F.col("event_id"),
+        F.when(bad(17), F.col("k") * 10 - 25).otherwise(F.col("k") * 10).alias("original_timestamp_ns"),
+        F.when(bad(19), F.col("k") + 1).otherwise(F.col("k")).alias("frame_index"),
+        F.col("k").alias("index"),
+        task.alias("episode_id"),
+        F.lit(0).alias("episode_index"),
+        F.when(bad(23), F.lit(None)).otherwise(F.col("k") == F.col("n") - 1).alias("done"),
+        F.when(bad(31), -0.5).otherwise(F.col("k") / F.col("n")).alias("subtask_progress"),
+        F.lit("task").alias("task"),
+        leaf.alias("subtask"),
+        leaf.alias("subtask_id"),
+        task.alias("annotation.level_1_id"),
+        F.lit("task").alias("annotation.level_1_name"),
+        F.when(bad(37), "drop").otherwise(leaf).alias("annotation.leaf_id"),
+        leaf.alias("annotation.leaf_name"),
+        F.when(bad(41), F.concat(leaf, F.lit(">x"))).otherwise(F.concat(F.lit("task>"), leaf)).alias("annotation.path"),
+        json.alias("annotation.hierarchy_json"),
+        (F.col("k") / 30).alias("timestamp"),
+    )
+
+
+@query(f"""{_FRAME_ROWS}, g AS (SELECT *, k * 10 - CASE WHEN event_id % 17 = 0 THEN 25 ELSE 0 END AS o, CASE WHEN event_id % 31 = 0 THEN -0.5 ELSE k / n END AS p FROM e),
+ w AS (SELECT *, lag(o) OVER (PARTITION BY file ORDER BY k) AS prior, lag(p) OVER (PARTITION BY file, event_type ORDER BY k) AS before, event_id % 29 <> 0 AS ok FROM g), v AS (
+SELECT 'increasing' AS "check", file, k FROM w WHERE o <= prior UNION ALL SELECT 'frame_index', file, k FROM w WHERE event_id % 19 = 0 UNION ALL SELECT 'done', file, k FROM w WHERE event_id % 23 = 0
+UNION ALL SELECT 'progress', file, k FROM w WHERE p < 0 OR p < before UNION ALL SELECT 'hierarchy', file, k FROM w WHERE NOT ok UNION ALL SELECT 'containment', file, k FROM w WHERE ok AND o < 0
+UNION ALL SELECT 'annotation.leaf_id', file, k FROM w WHERE ok AND event_id % 37 = 0 UNION ALL SELECT 'path', file, k FROM w WHERE ok AND event_id % 41 = 0)
+SELECT "check", file::VARCHAR AS entity, k AS row_index FROM v""")
+def annotation_audit(t):
+    return checks.annotation_audit(_frames(t), "file", "row", (1,)).select("check", "entity", "row_index")
+
+
+@query(f"{_FRAME_ROWS} SELECT file, 'u' || file AS episode_id, 0::BIGINT AS episode_index, max(CASE WHEN event_id % 29 <> 0 THEN 'u' || file END) AS l1_id, max(CASE WHEN event_id % 29 <> 0 THEN 0 END)::BIGINT AS l1_start_ns, CASE WHEN bool_and(event_id % 29 = 0) THEN 'no level 1' END AS problem FROM e GROUP BY file")
+def episode_index(t):
+    return checks.episode_index(_frames(t), "file").select("file", "episode_id", "episode_index", "l1_id", "l1_start_ns", "problem")
+
+
+@query(f"""{_FRAME_ROWS}, s AS (SELECT file, event_type AS id, min(k) AS a, max(k) AS b FROM e WHERE event_id % 29 <> 0 GROUP BY ALL UNION ALL SELECT file, 'u' || file, min(k), max(k) FROM e WHERE event_id % 29 <> 0 GROUP BY ALL)
+SELECT file::VARCHAR AS task, CASE WHEN id = 'u' || file THEN 1 ELSE 2 END::INTEGER AS level, id AS expected_id, 'id' AS matched, CASE WHEN file % 5 = 0 AND id = 'u' || file THEN 'end_ns' ELSE '' END AS differences,
+ CASE WHEN id = 'u' || file THEN file % 5 <> 0 AND abs(a / 30 - b / 30) + 0.0 >= 0 AND abs((b - a) / 30 - 1000000.0) <= 0.07 END AS consistent FROM s""")
+def annotation_reconcile(t):
+    found = checks.annotation_summary(_frames(t).where("event_id % 29 <> 0"), "file", "row")
+    order = Window.partitionBy("file").orderBy("level", "id")
+    actual = found.select(F.col("file").cast("string").alias("task"), "level", (F.row_number().over(order) - 1).alias("ord"), "layer_id", "id", "name", "start_ns", "end_ns", "first_playback", "last_playback")
+    late = (F.col("task").cast("long") % 5 == 0) & (F.col("level") == 1)
+    wanted = actual.withColumn("end_ns", F.when(late, F.col("end_ns") + 1).otherwise(F.col("end_ns")))
+    matches = reconcile.match_annotations(wanted, actual, "task")
+    played = reconcile.playback_durations(matches, wanted, actual, "task").select("task", "expected_ord", "consistent")
+    return matches.join(played, ["task", "expected_ord"], "left").select("task", "level", "expected_id", "matched", "differences", "consistent")
+
+
+_EPISODES = f"""WITH e AS (SELECT user_id, NS(ts) AS t FROM events WHERE event_type <> 'error'), i AS (SELECT user_id, min(NS(ts)) AS start_ns, max(NS(ts)) AS end_ns FROM events GROUP BY user_id),
+ b AS (SELECT i.*, min(t) AS t0_ns, max(t) AS last_main_ns FROM i LEFT JOIN e ON e.user_id = i.user_id AND t BETWEEN start_ns AND end_ns GROUP BY ALL)"""
+
+
+def _bounds(t) -> tuple[DataFrame, DataFrame]:
+    e = _events(t)
+    main = e.where("event_type <> 'error'").select("user_id", F.col("at").alias("log_ns"), F.col("event_id").alias("seq"))
+    return main, e.groupBy("user_id").agg(F.min("at").alias("start_ns"), F.max("at").alias("end_ns"))
+
+
+@query(f"{_EPISODES} SELECT user_id, start_ns, end_ns, t0_ns, last_main_ns FROM b")
+def main_frame_bounds(t):
+    main, episodes = _bounds(t)
+    return align.main_frame_bounds(episodes, main, ["user_id"], "start_ns", "end_ns", "log_ns", "seq")
+
+
+@query(f"""{_EPISODES}, k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+ r AS (SELECT k.user_id, k.event_id, n, t0_ns, n / 30.0::DOUBLE + CASE WHEN event_id % 23 = 0 THEN 0.001 ELSE 0 END AS s, t0_ns + round_even(n * 1e9 / 30, 0)::BIGINT + CASE WHEN event_id % 17 = 0 THEN 5000 ELSE 0 END AS o, n + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS f FROM k JOIN b USING (user_id)), c AS (SELECT user_id, count(*) AS n FROM k GROUP BY ALL), v AS (
+SELECT 'first_origin' AS "check", user_id, event_id FROM r WHERE n = 0 AND event_id % 17 = 0 UNION ALL SELECT 'first_seconds', user_id, event_id FROM r WHERE n = 0 AND event_id % 23 = 0 UNION ALL SELECT 'frame_index', user_id, event_id FROM r WHERE event_id % 19 = 0
+UNION ALL SELECT 'grid_seconds', user_id, event_id FROM r WHERE event_id % 23 = 0 UNION ALL SELECT 'grid_origin', user_id, event_id FROM r WHERE event_id % 17 = 0
+UNION ALL SELECT 'main_camera', user_id, NULL FROM b WHERE t0_ns IS NULL UNION ALL SELECT 'frame_count', user_id, NULL FROM b JOIN c USING (user_id) WHERE t0_ns IS NOT NULL AND (least(end_ns, last_main_ns) - t0_ns) * 30 // 1000000000 + 1 <> n)
+SELECT "check", user_id::VARCHAR AS entity, event_id AS row_index FROM v""")
+def fixed_fps_audit(t):
+    main, episodes = _bounds(t)
+    t0 = main.join(episodes, "user_id").where("log_ns between start_ns and end_ns").groupBy("user_id").agg(F.min("log_ns").alias("t0"))
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    fault = lambda m, v: F.when(F.col("event_id") % m == 0, v).otherwise(0)
+    frames = t("events").select("user_id", "event_id", n.alias("n")).join(t0, "user_id", "left")
+    frames = frames.select("user_id", "event_id", (F.col("n") / F.lit(30.0) + fault(23, 0.001)).alias("timestamp"), (F.col("t0") + F.bround(F.col("n") * 1e9 / 30).cast("long") + fault(17, 5000)).alias("original_timestamp_ns"), (F.col("n") + fault(19, 1)).alias("frame_index"))
+    found = checks.fixed_fps_audit(frames, main, episodes, ["user_id"], "event_id")
+    return found.where("check <> 'required'").select("check", "entity", "row_index")
+
+
+ROBOT = [
+    {"section": s, "position": 2 * i + k, "name": f"{s}-{g}-{kind}", "grp": g, "topic": f"/{kind}/{2 * i + j}", "fields": vectors.POSITION + vectors.ORIENTATION if kind == "pose" else ["data[0]"], "parser": "pose7d" if kind == "pose" else "gripper", "sync_policy": "5", "tolerance_ns": 5_000_000, "main_time_topic": "/main"}
+    for i, s in enumerate(("action", "observation_state"))
+    for j, g in enumerate(("left", "right"))
+    for k, kind in enumerate(("pose", "hand"))
+]
+
+
+def _messages(t) -> DataFrame:
+    """Messages of nine topics: each vector is one, 10 ms after the other."""
+    rows = t("embeddings").select(F.col("vec_id").alias("seq"), (F.col("vec_id") * 10_000_000).alias("log_ns"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    kind, x = F.col("seq") % 9, lambda i: F.get("x", F.lit(i))
+    point = lambda at, names: F.struct(*(x(at + i).alias(n) for i, n in enumerate(names)))
+    body = F.when(kind < 4, F.to_json(F.struct(F.struct(point(0, "xyz").alias("position"), point(3, "xyzw").alias("orientation")).alias("pose")))).otherwise(F.to_json(F.struct(F.array(x(7)).alias("data"))))
+    topic = F.when(kind == 8, "/main").when(kind < 4, F.concat(F.lit("/pose/"), kind.cast("string"))).otherwise(F.concat(F.lit("/hand/"), (kind - 4).cast("string")))
+    return rows.select(F.lit("r").alias("recording"), "seq", "log_ns", topic.alias("topic"), F.parse_json(body).alias("body"))
+
+
+def _times(t) -> DataFrame:
+    return t("embeddings").where("vec_id % 50 = 25").select(F.lit("r").alias("recording"), F.col("vec_id").alias("target"), (F.col("vec_id") * 10_000_000 + 3_000_000).alias("at"))
+
+
+_VECTORS = """WITH m AS (SELECT vec_id, vec_id * 10000000 AS t, vec_id % 9 AS k, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS x FROM embeddings), g AS (SELECT vec_id AS target, t + 3000000 AS due FROM m WHERE vec_id % 50 = 25),
+ a AS (SELECT target, arg_min(t, (abs(t - due), t)) AS due FROM g, m WHERE k = 8 GROUP BY target), s AS (SELECT a.*, k FROM a, range(8) r(k)),
+ b AS (SELECT s.*, max(CASE WHEN t <= due THEN t END) AS tb, min(CASE WHEN t >= due THEN t END) AS ta FROM s JOIN m USING (k) GROUP BY ALL),
+ c AS (SELECT b.*, CASE WHEN least(due - tb, ta - due) <= 5000000 THEN 'nearest' WHEN tb IS NULL THEN 'clamp_first' WHEN ta IS NULL THEN 'clamp_last' WHEN tb = ta THEN 'single_value' ELSE 'interpolated' END AS strategy, (due - tb)::DOUBLE / (ta - tb) AS r FROM b),
+ d AS (SELECT c.*, CASE WHEN strategy = 'interpolated' THEN p.x WHEN c.ta IS NULL OR due - tb <= ta - due THEN p.x ELSE q.x END AS x, CASE WHEN strategy = 'interpolated' THEN q.x END AS y FROM c LEFT JOIN m p ON p.t = tb LEFT JOIN m q ON q.t = ta),
+ n AS (SELECT *, list_transform(x[4:7], lambda v: v / sqrt(list_inner_product(x[4:7], x[4:7]))) AS p, list_transform(y[4:7], lambda v: v / sqrt(list_inner_product(y[4:7], y[4:7]))) AS q FROM d),
+ o AS (SELECT *, CASE WHEN list_inner_product(p, q) < 0 THEN -1.0 ELSE 1.0 END AS sg, least(abs(list_inner_product(p, q)), 1.0) AS co, acos(least(abs(list_inner_product(p, q)), 1.0)) AS th FROM n),
+ w AS (SELECT *, CASE WHEN y IS NULL THEN p WHEN co > 0.9995 THEN list_transform([1, 2, 3, 4], lambda i: p[i] + (q[i] * sg - p[i]) * r) ELSE list_transform([1, 2, 3, 4], lambda i: (p[i] * sin((1 - r) * th) + q[i] * sg * sin(r * th)) / sin(th)) END AS u FROM o),
+ z AS (SELECT *, list_transform(u, lambda v: v / sqrt(list_inner_product(u, u))) AS e, CASE WHEN y IS NULL THEN x ELSE list_transform(x, lambda v, i: v + (y[i] - v) * r) END AS f FROM w),
+ l AS (SELECT target, due, k, strategy, unnest([{'label': 'x', 'v': f[1]}, {'label': 'y', 'v': f[2]}, {'label': 'z', 'v': f[3]}, {'label': 'roll', 'v': atan2(2 * (e[4] * e[1] + e[2] * e[3]), 1 - 2 * (e[1] * e[1] + e[2] * e[2]))},
+  {'label': 'pitch', 'v': asin(greatest(least(2 * (e[4] * e[2] - e[3] * e[1]), 1.0), -1.0))}, {'label': 'yaw', 'v': atan2(2 * (e[4] * e[3] + e[1] * e[2]), 1 - 2 * (e[2] * e[2] + e[3] * e[3]))}]) AS s FROM z WHERE k < 4
+  UNION ALL SELECT target, due, k, strategy, {'label': 'angle', 'v': f[8]} FROM z WHERE k >= 4)"""
+
+
+@query(f"{_VECTORS} SELECT target, due AS sampled_ns, CASE WHEN k % 4 < 2 THEN 'action' ELSE 'observation_state' END AS section, CASE WHEN k % 2 = 0 THEN 'left' ELSE 'right' END AS grp, s.label AS label, round(s.v, 5) + 0.0 AS value, strategy FROM l")
+def robot_vectors_at_time(t):
+    out = vectors.message_vectors_at(_messages(t), _times(t), ROBOT, ["recording"], "target", "at")
+    return out.withColumn("value", F.round("value", 5) + 0.0)
+
+
+@query("""WITH m AS (SELECT vec_id, vec_id * 10000000 AS t, vec_id % 9 AS k, embedding FROM embeddings), g AS (SELECT vec_id AS target, t + 3000000 AS due FROM m WHERE vec_id % 50 = 25),
+ n AS (SELECT target, k, arg_min(vec_id, (abs(t - due), t)) AS vec_id FROM g, m WHERE k < 4 GROUP BY ALL), f AS (SELECT unnest(['position.x', 'position.y', 'position.z', 'orientation.x', 'orientation.y', 'orientation.z', 'orientation.w']) AS field, unnest(range(1, 8)) AS i)
+SELECT target, CASE WHEN n.k < 2 THEN 'action' ELSE 'observation_state' END AS section, '/pose/' || n.k AS topic, t AS matched_ns, 'pose.' || field AS field, round(embedding[i]::DOUBLE, 6) AS value FROM n JOIN m USING (vec_id), f""")
+def configured_fields_at_time(t):
+    out = vectors.message_fields_at(_messages(t), _times(t), ROBOT, ["recording"], "target", "at")
+    return out.withColumn("value", F.round("value", 6))
+
+
+def _vector_frames(t) -> DataFrame:
+    """Frames whose vectors are the first 28 values, with fields in an order of their own."""
+    names = [f"{g}_arm.{x}" if x != "angle" else f"{g}_gripper.data[0]" for g in ("right", "left") for x in reversed(vectors.LABELS)]
+    part = lambda at: F.slice("embedding", at, 14)
+    shown = lambda at: F.struct(*(F.get(part(at), F.lit(i)).alias(n) for i, n in enumerate(names)))
+    return t("embeddings").select(F.lit("r").alias("recording"), F.col("vec_id").alias("row"), (F.col("vec_id") * 33_333_333).alias("ts"), part(1).alias("actions"), shown(1).alias("ac_display"), part(15).alias("state"), shown(15).alias("st_display"))
+
+
+@query("""WITH m AS (SELECT vec_id, vec_id * 33333333 AS t, embedding FROM embeddings), g AS (SELECT vec_id AS target, vec_id * 10000000 + 3000000 AS due FROM embeddings WHERE vec_id % 50 = 25), n AS (SELECT target, arg_min(vec_id, (abs(t - due), t)) AS vec_id FROM g, m GROUP BY target)
+SELECT target, t AS matched_ns, CASE WHEN i < 14 THEN 'action' ELSE 'observation_state' END AS section, CASE WHEN i // 7 % 2 = 0 THEN 'right' ELSE 'left' END AS grp, ['angle', 'yaw', 'pitch', 'roll', 'z', 'y', 'x'][i % 7 + 1] AS label, round(embedding[i + 1]::DOUBLE, 6) AS value FROM n JOIN m USING (vec_id), range(28) r(i)""")
+def frame_vectors_at_time(t):
+    out = vectors.frame_vectors_at(_vector_frames(t), _times(t), ["recording"], "target", "at", "ts", "row")
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("SELECT target, count(*) AS labels, count(*) FILTER (w IS NULL) AS unmatched FROM (SELECT vec_id AS target, unnest(range(28)) AS i, 1 AS w FROM embeddings WHERE vec_id % 50 = 25) GROUP BY target")
+def vector_audit(t):
+    out = vectors.vector_audit(_vector_frames(t), _messages(t), _times(t), ROBOT, ["recording"], "target", "at", "ts", "row")
+    return out.groupBy("target").agg(F.count("*").alias("labels"), F.count_if(F.col("within").isNull()).alias("unmatched"))
+
+
+@query("""WITH e AS (SELECT conv_id, turn, role FROM conversations), x AS (SELECT conv_id, 'episode' AS category, 'auto:j' || conv_id || ':episode:0' AS id, 'l1' AS layer_id, 'all' AS description, 5000000000::BIGINT AS start_ns, 5000000000 + (max(turn) + 1) * 500000000 AS end_ns FROM e GROUP BY conv_id
+ UNION ALL SELECT conv_id, 'sub_task', 's' || conv_id || '-' || turn, 'l2', role, 5000000000 + turn * 500000000, 5000000000 + turn * 500000000 + 500000000 FROM e)
+SELECT conv_id, category, id, layer_id, description, start_ns::BIGINT AS start_ns, end_ns::BIGINT AS end_ns, (start_ns - 5000000000)::BIGINT AS relative_start_ns, NULL::VARCHAR AS problem FROM x""")
+def auto_label_segments(t):
+    sub = F.struct(F.concat_ws("-", F.concat(F.lit("s"), "conv_id"), "turn").alias("segmentId"), F.col("role").alias("prompt"), (F.col("turn") * 0.5).alias("startSec"), (F.col("turn") * 0.5 + 0.5).alias("endSec"))
+    rows = t("conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.collect_list(sub).alias("sub_tasks"))
+    episode = F.struct(F.struct(F.lit("all").alias("label"), F.lit(0).alias("startSec"), ((F.col("last") + 1) * 0.5).alias("endSec")).alias("segment"), F.when(F.col("conv_id") % 2 == 0, F.col("sub_tasks")).alias("sub_tasks"))
+    whole = F.struct(F.array(episode).alias("episodes_annotation"), F.when(F.col("conv_id") % 2 == 1, F.col("sub_tasks")).alias("sub_tasks_annotation"))
+    results = rows.select("conv_id", F.concat(F.lit("j"), "conv_id").alias("job"), F.parse_json(F.to_json(whole)).alias("result"), F.lit(5_000_000_000).alias("base"))
+    return flatten.auto_segments(results, "conv_id", "result", "job", "base").select("conv_id", "category", "id", "layer_id", "description", "start_ns", "end_ns", "relative_start_ns", "problem")
+
+
+@query("""WITH m AS (SELECT vec_id, vec_id * 10000000 AS t, embedding FROM embeddings WHERE vec_id % 3 = 0), g AS (SELECT vec_id AS target, vec_id * 10000000 + 3000000 AS due FROM embeddings WHERE vec_id % 50 = 25), n AS (SELECT target, arg_min(vec_id, (abs(t - due), t)) AS vec_id FROM g, m GROUP BY target)
+SELECT target, pair, true AS same_row, 1.0::DOUBLE AS matched_ratio, true AS consistent FROM n, (VALUES ('raw_video'), ('raw_cell'), ('cell_video')) p(pair)""")
+def image_audit_three_way(t):
+    byte = lambda v: F.least(F.greatest(F.floor((v.cast("double") + 0.6) * 200), F.lit(0)), F.lit(255)).cast("int")
+    data = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(byte(v)), 2, "0")), ""))
+    rows = t("embeddings").where("vec_id % 3 = 0").select(F.lit("r").alias("recording"), F.col("vec_id").alias("seq"), (F.col("vec_id") * 10_000_000).alias("log_ns"), F.lit("cam").alias("topic"), F.lit("raw").alias("schema_name"), data.alias("data"))
+    cells = rows.select("recording", F.col("seq").alias("row"), F.col("log_ns").alias("ts"), F.struct(F.col("data").alias("bytes"), F.lit("p").alias("path")).alias("cam"))
+    image = F.struct(F.col("data"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit("mono8").alias("encoding"))
+    raw = image_audit.message_images_at(rows, _times(t), ["cam"], ["recording"], "target", "at").select("target", F.col("topic").alias("camera"), F.col("seq").alias("row"), image.alias("image"))
+    own = image_audit.frame_images_at(cells, _times(t), ["cam"], ["recording"], "target", "at", "ts", "row").select("target", "camera", "row", image.alias("image"))
+    return image_audit.three_way(raw, own, own, "target", "camera").select("target", "pair", "same_row", "matched_ratio", "consistent")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,3 +60,100 @@ def json_config(spark: SparkSession, path: str) -> DataFrame:
 def jdbc(spark: SparkSession, name: str, **options: str) -> DataFrame:
     """A database table; connection options come from the caller's configuration."""
     return spark.read.format("jdbc").options(dbtable=name, **options).load()
+
+
+def _files(spark: SparkSession, folder: str):
+    """(Hadoop file system, path) of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def parquet_files(spark: SparkSession, folder: str) -> list[str]:
+    """Parquet files below a folder that hold something, sorted; an error if there are none, or if one is empty."""
+    store, path = _files(spark, folder)
+    found, walk = [], store.listFiles(path, True)
+    while walk.hasNext():
+        status = walk.next()
+        if (name := status.getPath().toString()).endswith(".parquet"):
+            if not status.getLen():
+                raise ValueError(f"{name} is empty")
+            found.append(name)
+    if not found:
+        raise FileNotFoundError(f"no Parquet file below {folder}")
+    return sorted(found)
+
+
+def only_child(spark: SparkSession, folder: str, below: str = "") -> str:
+    """The only folder in a folder, or a folder below it, which must be there."""
+    store, path = _files(spark, folder)
+    inside = [s.getPath().toString() for s in store.listStatus(path) if s.isDirectory()]
+    if len(inside) != 1:
+        raise ValueError(f"{folder} has {len(inside)} folders")
+    wanted = f"{inside[0]}/{below}".rstrip("/")
+    if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(wanted)):
+        raise FileNotFoundError(wanted)
+    return wanted
+
+
+def footers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, row_group, rows, column, filled, nulls) of Parquet files, from their footers alone; filled and nulls are null where statistics are missing.  Few files: the driver reads them; cache() keeps them."""
+    reader, source = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader, spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for p in paths:
+        opened = reader.open(source.fromPath(spark._jvm.org.apache.hadoop.fs.Path(p), conf))
+        try:
+            for g, block in enumerate(opened.getFooter().getBlocks()):
+                for column in block.getColumns():
+                    stats = column.getStatistics()
+                    known = stats is not None and stats.isNumNullsSet()
+                    nulls = stats.getNumNulls() if known else None
+                    out.append((p, g, block.getRowCount(), column.getPath().toDotString(), column.getValueCount() - nulls if known else None, nulls))
+        finally:
+            opened.close()
+    return spark.createDataFrame(out, "file string, row_group int, rows long, column string, filled long, nulls long")
+
+
+def paged(spark: SparkSession, fetch, size: int = 100) -> DataFrame:
+    """Rows of a paged service as JSON text: fetch(page, size) gives (rows, number of pages) and runs in executors for all pages but the first."""
+    first, pages = fetch(1, size)
+    head = spark.createDataFrame([(json.dumps(r),) for r in first], "json string")
+    if pages <= 1:
+        return head
+
+    def run(batches):
+        for batch in batches:
+            for page in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(r) for r in fetch(page, size)[0]], pa.string())], ["json"])
+
+    return head.unionByName(spark.range(2, pages + 1, numPartitions=min(pages - 1, 1000)).mapInArrow(run, "json string"))
+
+
+def video_path(parquet: str | Column, column: str) -> Column:
+    """Path of the video of an image column, from an episode's Parquet path: <dataset>/data/<chunk>/<episode>.parquet -> <dataset>/videos/<column>/<chunk>/<episode>.mp4."""
+    c = F.col(parquet) if isinstance(parquet, str) else parquet
+    return F.regexp_replace(c, r"^(.*)/data/([^/]+)/([^/]+)\.parquet$", f"$1/videos/{column}/$2/$3.mp4")
+
+
+def video_frames(wanted: DataFrame) -> DataFrame:
+    """(path, frame, width, height, data): RGB frames of videos, decoded once a file and no further than the last wanted one; a missing frame is an error.  Needs PyAV on executors."""
+
+    def run(batches):
+        import av
+
+        from .mcap import open_file
+
+        for batch in batches:
+            for path, frames in zip(batch.column("path").to_pylist(), batch.column("frames").to_pylist(), strict=True):
+                left = set(frames)
+                with open_file(path) as raw, av.open(raw) as video:
+                    for n, picture in enumerate(video.decode(video=0)):
+                        if n in left:
+                            left.discard(n)
+                            pixels = picture.to_ndarray(format="rgb24")
+                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([pixels.shape[1]], pa.int32()), pa.array([pixels.shape[0]], pa.int32()), pa.array([pixels.tobytes()], pa.binary())], ["path", "frame", "width", "height", "data"])
+                        if not left:
+                            break
+                if left:
+                    raise ValueError(f"{path} lacks frames {sorted(left)[:5]}")
+
+    return wanted.groupBy("path").agg(F.sort_array(F.collect_set("frame")).alias("frames")).mapInArrow(run, "path string, frame long, width int, height int, data binary")
