@@ -55,9 +55,15 @@ class Tables:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _RUNS.append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet, which cuts its lineage, and returns a scan of it."""
-        df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
+    def keep(self, df: DataFrame, name: str, few: list[str] | None = None) -> DataFrame:
+        """Writes df as Parquet, which cuts its lineage, and returns a scan of it.
+
+        few: columns to deal rows by first, where many tasks make little each:
+        AQE then writes a few files of its advisory size, not one for each task.
+        """
+        if few:
+            df = df.hint("rebalance", *few)
+        df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path := f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

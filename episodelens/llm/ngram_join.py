@@ -342,10 +342,11 @@ def _sets(taken):
     """Sets of the documents whose slot is taken (all, without a bitmap); those of others are left out early, some too many do no harm."""
 
     def run(batches):
-        slots = None if taken is None else np.unpackbits(np.frombuffer(taken.value, np.uint8), bitorder="little").astype(bool)
+        bits = None if taken is None else np.frombuffer(taken.value, np.uint8)
         for batch in batches:
-            if slots is not None:
-                batch = batch.filter(pa.array(slots[batch.column("slot").to_numpy()]))
+            if bits is not None:
+                slot = batch.column("slot").to_numpy()
+                batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
             for part, words in batches_of([batch]):
                 docs, hashes, _ = shingle_sets(words)
                 bounds = np.searchsorted(docs, np.arange(part.num_rows + 1))
@@ -432,7 +433,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     tables = Tables(spark, "ngram-join")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = tables.keep(texts.mapInArrow(_describe, "doc_id long, n_shingles long, sig1 long, sig2 long, slot int, counts binary"), "described")
+    seen = tables.keep(texts.mapInArrow(_describe, "doc_id long, n_shingles long, sig1 long, sig2 long, slot int, counts binary"), "described", few=["doc_id", "slot"])
     rows = seen.where("slot is null").select("doc_id", "n_shingles", "sig1", "sig2")
     merged = seen.where("slot is not null").select("slot", "counts").repartition(SKETCH_BLOCKS, "slot").mapInArrow(_merge_sketch, "slot int, levels binary, squares double, total double").collect()
     levels, squares, total = bytearray(1 << SKETCH_BITS), 0.0, 1.0
@@ -446,12 +447,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = texts.where("doc_id is not null").mapInArrow(_prefixes(shared), "doc_id long, n_shingles long, sig1 long, sig2 long, first binary").where("n_shingles > 0")
     merged_sets = sets.groupBy("sig1", "sig2", "n_shingles").agg(F.min(F.struct("doc_id", "first")).alias("x")).select(F.col("x.doc_id").alias("node"), "n_shingles", "x.first")
     postings = merged_sets.mapInArrow(_postings(boundary), "list long, node long, place long")
-    scanned = tables.keep(postings.repartition("list").sortWithinPartitions("list", "place", "node").mapInArrow(_scan_lists(boundary), PAIRS), "scanned")
+    scanned = tables.keep(postings.repartition("list").sortWithinPartitions("list", "place", "node").mapInArrow(_scan_lists(boundary), PAIRS), "scanned", few=["a", "b"])
     pairs = tables.keep(scanned.where("list is null").select("a", "b").distinct(), "pairs")
     entries = scanned.where("list is not null").select("list", F.col("a").alias("node"), "place")
     # sets of all entries of long lists too: pivots and blocks pair nodes that are in no pair so far
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(entries.select("node"))
-    sets = tables.keep(_paired_sets(texts, nodes), "sets")
+    sets = tables.keep(_paired_sets(texts, nodes), "sets", few=["node"])
     links = _links(tables, sets, pairs, "first")
     tested, turn = pairs, 0
     label = components(tables, links, "cc")
