@@ -54,7 +54,7 @@ BLOCK = 1024
 #: so that it may be broadcast; with fewer than FILTER_LEAST for each node the sets are found by a join.
 FILTER_SLOTS, FILTER_LEAST, FILTER_BITS = 256, 8, 27
 #: Long lists try so many pivots a turn, with a node's so many lists, and so many turns at most, before the remaining pairs of different components are compared.
-PIVOTS, LISTS, TURNS = 8, 4, 5
+PIVOTS, LISTS, TURNS = 32, 16, 5
 
 
 def shared_size(n, m):
@@ -383,10 +383,9 @@ def _verify(batches):
 
 def _links(tables: Tables, sets: DataFrame, pairs: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Those of pairs (a, b) whose sets link; few: most sets are in no pair and needn't be shuffled."""
-    if few:
-        sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
+    side = lambda end, name: sets.select(F.col("node").alias(end), F.col("elements").alias(name))
+    xs, ys = (s.join(pairs.select(end).distinct(), end, "left_semi") if few else s for s, end in ((side("a", "x"), "a"), (side("b", "y"), "b")))
+    both = pairs.join(xs, "a").join(ys, "b").select("a", "b", "x", "y")
     # few rows are left of much read: a shuffle of them spares one small file for each task
     return tables.keep(both.mapInArrow(_verify, "a long, b long").repartition("a", "b"), f"{name}-links")
 
@@ -413,6 +412,7 @@ def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
     """Pairs of each entry of a long list with the list's pivots of other components: as many rows as nodes times LISTS * PIVOTS at most.
 
     Pivots only bring components together; the pairs left are all compared later.
+    An entry whose list comes late in a set leaves too few elements for a link and makes no pair.
     """
     chance = F.xxhash64(F.col("list"), F.lit(turn))
     few = entries.groupBy("node", "label", F.pmod(F.xxhash64("list"), F.lit(LISTS)).alias("slot")).agg(F.min(F.struct(chance.alias("chance"), "list", "place")).alias("e"))
@@ -420,7 +420,8 @@ def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
     order = F.xxhash64(F.col("node"), F.lit(turn))
     pivots = entries.groupBy("list", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(order.alias("order"), "node", "place", "label")).alias("p"))
     size, other = F.shiftright("place", 24), F.shiftright("p.place", 24)
-    apart = (F.col("label") != F.col("p.label")) & (4 * size >= 3 * other) & (4 * other >= 3 * size)
+    left, others = size - F.col("place").bitwiseAND(0xFFFFFF), other - F.col("p.place").bitwiseAND(0xFFFFFF)
+    apart = (F.col("label") != F.col("p.label")) & (4 * size >= 3 * other) & (4 * other >= 3 * size) & (7 * F.least(left, others) >= 3 * (size + other))
     near = entries.join(pivots.select("list", "p").withColumnRenamed("list", "l"), (F.col("list") == F.col("l")) & apart)
     return near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
@@ -462,7 +463,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
         labelled = labelled.join(lists, "list")
         if not cost:
             break
-        if last := cost <= 3 * n or turn == TURNS:
+        # no more pairs an entry than short lists have are all compared
+        if last := cost <= n * (LONG // 2) or turn == TURNS:
             spread = labelled.withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             spread = spread.select("list", F.least("block", "other").cast("long").alias("one"), F.greatest("block", "other").cast("long").alias("two"), "node", "place", "label")
             more = spread.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two").mapInArrow(_block_pairs(boundary), "a long, b long").distinct()
