@@ -53,7 +53,8 @@ BLOCK = 1024
 #: A bitmap of slots spares sets that are in no pair the way to disk: FILTER_SLOTS for each node, up to 2**FILTER_BITS in all,
 #: so that it may be broadcast; with fewer than FILTER_LEAST for each node the sets are found by a join.
 FILTER_SLOTS, FILTER_LEAST, FILTER_BITS = 256, 8, 27
-#: Long lists try so many pivots a turn, with a node's so many lists, and so many turns at most, before the remaining pairs of different components are compared.
+#: Long lists try so many pivots a turn, with a node's so many lists, and so many turns at most,
+#: each of which must halve the pairs of different components; then the remaining ones are compared.
 PIVOTS, LISTS, TURNS = 32, 16, 5
 
 
@@ -455,7 +456,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(entries.select("node"))
     sets = tables.keep(_paired_sets(texts, nodes), "sets", few=["node"])
     links = _links(tables, sets, pairs, "first")
-    tested, turn = pairs, 0
+    tested, turn, before = pairs, 0, float("inf")
     label = components(tables, links, "cc")
     while entries.limit(1).count():
         labelled = tables.keep(entries.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), f"labelled-{turn}")
@@ -463,8 +464,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
         labelled = labelled.join(lists, "list")
         if not cost:
             break
-        # no more pairs an entry than short lists have are all compared
-        if last := cost <= n * (LONG // 2) or turn == TURNS:
+        # no more pairs an entry than short lists have are all compared, and any number once a turn doesn't halve them
+        if last := cost <= n * (LONG // 2) or 2 * cost > before or turn == TURNS:
             spread = labelled.withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             spread = spread.select("list", F.least("block", "other").cast("long").alias("one"), F.greatest("block", "other").cast("long").alias("two"), "node", "place", "label")
             more = spread.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two").mapInArrow(_block_pairs(boundary), "a long, b long").distinct()
@@ -475,7 +476,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
         tested, label = tested.union(more), _joined(tables, label, fresh, f"cc-{turn}")
         if last:
             break
-        turn += 1
+        turn, before = turn + 1, cost
     copies = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("total"))
     classes = copies.join(label, "node", "left").select("sig1", "sig2", "n_shingles", "total", F.coalesce("label", "node").alias("component_id"))
     classes = tables.keep(classes, "classes")
